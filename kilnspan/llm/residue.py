@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- normalising
 
-_INVISIBLE = re.compile("[​-‏⁠﻿­\x00-\x08\x0e-\x1f\x7f]")
+_INVISIBLE = re.compile("[" + "".join(map(chr, (*range(9), *range(14, 32), 127, 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF))) + "]")
 _SPACES = re.compile("[^\\S\n]+")
 _SPECIAL_TOKEN = re.compile(r"<\|\w+\|>")
 
@@ -33,7 +33,7 @@ _SPECIAL_TOKEN = re.compile(r"<\|\w+\|>")
 def normalise(text: str) -> str:
     """White space of any kind as one space or a line feed; invisible characters gone."""
     text = _INVISIBLE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
-    text = _SPECIAL_TOKEN.sub(" ", text.replace(" ", "\n").replace(" ", "\n"))
+    text = _SPECIAL_TOKEN.sub(" ", text.replace(chr(0x2028), "\n").replace(chr(0x2029), "\n"))
     return _SPACES.sub(" ", text)
 
 
