@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from . import upkeep
+
+FLAGSHIP = "p4_counts"
+QUERIES = upkeep.QUERIES
+SQL = upkeep.SQL
