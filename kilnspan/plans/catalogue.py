@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import upkeep
+from . import analyses, upkeep
 
-FLAGSHIP = "p4_counts"
-QUERIES = upkeep.QUERIES
-SQL = upkeep.SQL
+FLAGSHIP = "lm_loss_iteration"
+QUERIES = {**upkeep.QUERIES, **analyses.QUERIES}
+SQL = {**upkeep.SQL, **analyses.SQL}
