@@ -142,9 +142,10 @@ class Encoder:
         for piece in self.split(text or ""):
             ids = memo.get(piece)
             if ids is None:
-                raw = piece.encode("utf-8", "replace" if piece.isascii() else "surrogatepass")
-                if b"\xed" in raw:
-                    raw = raw.decode("utf-8", "replace").encode("utf-8")
+                try:
+                    raw = piece.encode()
+                except UnicodeEncodeError:  # lone surrogates
+                    raw = "".join(chr(0xFFFD) if 0xD800 <= ord(c) < 0xE000 else c for c in piece).encode()
                 ids = tuple(self.pre_token(raw))
                 if len(raw) <= MEMO_BYTES:
                     if len(memo) >= MEMO_SIZE:
