@@ -38,10 +38,10 @@ def latest_before(facts: DataFrame, states: DataFrame, on: str, by: Sequence[str
     sweep = Window.partitionBy(*by, *lane).orderBy(F.col(on).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, -1)
     swept = both.withColumn("__s", F.last("__state", ignorenulls=True).over(sweep))
     if lanes > 1:
-        ends = both.where("__side = 1").groupBy(*by, "__lane").agg(F.max_by("__state", on).alias("__e"))
         carry = Window.partitionBy(*by).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
-        grid = both.select(*by, "__lane").distinct().join(ends, [*by, "__lane"], "left").withColumn("__c", F.last("__e", ignorenulls=True).over(carry)).select(*by, "__lane", "__c")
-        swept = swept.join(grid, [*by, "__lane"], "left").withColumn("__s", F.coalesce("__s", "__c"))
+        ends = both.groupBy(*by, "__lane").agg(F.max_by("__state", F.when(F.col("__side") == 1, F.col(on))).alias("__e"))
+        ends = ends.withColumn("__c", F.last("__e", ignorenulls=True).over(carry)).select(*[F.col(c).alias(f"__k{c}") for c in by], F.col("__lane").alias("__k"), "__c")
+        swept = swept.join(ends, _same(swept, by) & (F.col("__lane") == F.col("__k")), "left").withColumn("__s", F.coalesce("__s", "__c"))
     out = swept.where("__side = 0").select(*by, on, *[F.col("__fact")[c].alias(c) for c in rest], F.when(F.col(on).isNotNull(), F.col("__s")).alias("__s"))
     out = out.select(*facts.columns, f"__s.state_{on}", *[f"__s.{c}" for c in take])
     if required:

@@ -52,7 +52,7 @@ class Manifest:
     top_k: int
     sequence_parallel: bool = False
     dispatcher_type: str = "alltoall"
-    permutation_mode: str = "unfused"
+    permutation_mode: str = "non_fused"
     dropless: bool = True
     padded: bool = False
     extra: Mapping = field(default_factory=dict)
@@ -77,7 +77,7 @@ class Manifest:
 
     def require_supported(self) -> None:
         """Reconstruction needs CP 1, all-to-all dispatch, unfused permutation, dropless and unpadded routing."""
-        if len(self.cp_groups[0]) != 1 or self.dispatcher_type != "alltoall" or self.permutation_mode != "unfused" or not self.dropless or self.padded:
+        if len(self.cp_groups[0]) != 1 or self.dispatcher_type != "alltoall" or self.permutation_mode != "non_fused" or not self.dropless or self.padded:
             raise TopologyError("unsupported topology for reconstruction")
 
     def rank_table(self, spark: SparkSession) -> DataFrame:

@@ -643,8 +643,8 @@ def flush_boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with r as (select o_orderpriority pair, o_orderkey // 2 % 50 repetition, case when o_orderkey % 2 = 0 then 'off' else 'on' end mode, o_totalprice seconds from orders),
-b as (select pair, repetition, max(seconds) filter (mode = 'off') f, max(seconds) filter (mode = 'on') n from r group by 1, 2), q as (select pair, (n - f) / f x from b where f is not null and n is not null)
+    """with r as (select o_orderpriority pair, o_orderkey // 2 % 50 repetition, case when o_orderkey % 2 = 0 then 'off' else 'on' end mode, o_totalprice secs from orders),
+b as (select pair, repetition, max(secs) filter (mode = 'off') f, max(secs) filter (mode = 'on') n from r group by 1, 2), q as (select pair, (n - f) / f x from b where f is not null and n is not null)
 select pair, count(x) repetitions, round(avg(x), 6) mean_overhead, round(coalesce(stddev_samp(x), 0), 6) overhead_deviation from q group by 1"""
 )
 def paired_overheads(spark: SparkSession, folder: str) -> DataFrame:
