@@ -59,10 +59,12 @@ _CODE_LINE = re.compile(
 #: Sentences about placeholders rather than with placeholders.
 _ABOUT = re.compile(
     r"\b(fills?|filled|filling|renders?|renderer|expand(?:s|ed)?|substitut\w*|placeholders?|templates?|"
-    r"syntax|literals?|macros?|variables?|argument|option|format string|escape[sd]?|preview|the form|masked|redacted|left ?over|remov\w+|replaced by|typo|"
+    r"syntax|literals?|macros?|variables?|argument|option|format string|escape[sd]?|preview|the form|replaced by|typo|"
     r"platzhalter|vorlage|marcadores?|plantilla|variable|gabarit|modèle)\b|占位符|模板|变量|プレースホルダ|テンプレート|変数",
     re.I,
 )
+#: Sentences that mention a marker such as TBD instead of using it.
+_MENTION = re.compile(r"\b(?:last|every|all|no|any|each|remaining|left ?over|masked|redacted|marked|removed?|resolved?|replaced?|literal|grep|search\w*)\b", re.I)
 _LINKING = re.compile(r"^\W*(see|see also|cf\.?|siehe|voir|véase|ver)\b", re.I)
 
 _NAME = r"[A-Za-z][A-Za-z]*(?:[_ ][A-Za-z]+){0,4}"
@@ -89,22 +91,25 @@ SLOT_GRAMMARS = {
     "hashes": rf"(?<![\w#])##{_UPPER}##(?!\w)",
     "print style": rf"%\({_NAME}\)[sdf]",
     "percents": rf"(?<![\w%])%{_UPPER}%(?!\w)",
+    "dollars": rf"(?<![\w$])\${_UPPER}\$(?![\w$])",
     "dollar braces": rf"\$\{{ ?{_NAME} ?\}}",
     "upper angles": rf"<(?!<){_UPPER}>(?!>)",
     "field in angles": rf"(?<![<\w])<(?!/|(?i:title|time|link|label|summary|section|source|address|code|unit|text)>)(?i:{_FIELDS})>(?!>)",
     "field in braces": rf"(?<![\w{{$%])\{{(?i:{_FIELDS})\}}(?!\}})",
     "field in guillemets": rf"« ?(?i:{_FIELDS}) ?»",
-    "instructions": r"\[(?i:insert|enter|add|type|fill in|your|todo|tbd|hier|hierher|einfügen|insérer|inserer|indiquer|"
-    r"à compléter|votre|insertar|introducir|completar|su|aquí)\b[^\[\]\n]{0,60}\]",
+    "instructions": r"\[(?:(?i:insert|enter|add|type|fill in|your|todo|tbd|hier|einfügen|insérer|inserer|indiquer|à compléter|votre|insertar|introducir|completar|su|aquí)\b[^\[\]\n]{0,60}"
+    r"|[^\[\]\n\d]{1,50}\b(?i:goes here|here|to be (?:filled|added|completed|determined)|to follow|tbd|tbc|todo|hier (?:eintragen|einfügen|ergänzen|einsetzen)|eintragen|ergänzen|einsetzen|à (?:compléter|remplir|définir|préciser|renseigner|insérer)|"
+    r"(?:por|a) (?:completar|rellenar|definir|insertar|indicar)|pendiente|aquí|ici))\]",
     "instructions in angles": r"<(?i:insert|enter|your|hier|insérer|insertar)[ _][^<>\n]{0,60}>",
     "corner brackets": r"【[^【】\n]{0,30}(?:填写|填入|待补充|补充|待定|待填|请输入|記入|入力|未定|要確認|ここに)[^【】\n]{0,20}】",
     "lenticular forms": r"[（(［\[](?:请填写|待补充|请输入|ここに[^）)\n]{0,30}|要記入|未記入)[^）)］\]\n]{0,20}[）)］\]]",
     "blank lines to fill": r"(?<![_\w])_{5,}(?![_\w])",
     "dots to fill": r"(?<=[:：] )(?:\.{5,}|…{2,})(?=\s*$)",
-    "value to come": r"(?<=[:：] )\W{0,2}(?:TBD|TBC|TODO|T\.B\.D\.|XX+|N\.N\.)\W{0,2}$",
+    "value to come": r"(?:(?<=[:：] )|(?<=[:：] \W)|(?<=[:：] \W\W))(?:TBD|TBC|TODO|T\.B\.D\.|XX+|N\.N\.)\W{0,2}$",
 }
 _SLOTS = re.compile("|".join(f"(?:{g})" for g in SLOT_GRAMMARS.values()), re.M)
 _TO_COME = re.compile(r"(?<![\w/#`-])(?:TBD|TBC|XXX+)(?![\w:`-])")
+#: Where a slot can begin.
 _HINTS = re.compile(r"[{\[<«%$@_#【（(［…]|TBD|TBC|TODO|XX|\.{5}|T\.B\.D|N\.N")
 _SENTENCE_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n")
 
@@ -117,14 +122,16 @@ def prose_only(text: str) -> str:
 
 def open_slots(text: str) -> list[str]:
     """The slots of a normalised text that are still open."""
-    if not _HINTS.search(text) or not (_SLOTS.search(text) or _TO_COME.search(text)):
+    if not any(_SLOTS.match(text, m.start()) or _TO_COME.match(text, m.start()) for m in _HINTS.finditer(text)):
         return []
     found = []
     for sentence in _SENTENCE_END.split(prose_only(text)):
         if not _HINTS.search(sentence):
             continue
         bare = _QUOTED.sub(" ", sentence)
-        slots = [m.group(0) for m in _SLOTS.finditer(bare)] + [m.group(0) for m in _TO_COME.finditer(bare)]
+        slots = [m.group(0) for m in _SLOTS.finditer(bare)]
+        if not _MENTION.search(bare):
+            slots += [m.group(0) for m in _TO_COME.finditer(bare)]
         if slots and not _ABOUT.search(_SLOTS.sub(" ", bare)) and not _LINKING.search(bare):
             found += slots
     return found
@@ -149,7 +156,7 @@ _NOTICE = [
     rf"(?:启用|开启|打开|需要|允许|禁用)[^。！？]{{0,20}}{_SCRIPT}|{_SCRIPT}[^。！？]{{0,30}}(?:启用|开启|禁用|才能|有効|必要|無効|オン|許可)",
 ]
 _ERROR_TITLE = [
-    r"^\W*(?:error\s*)?(?:http\s*)?[45]\d\d\b\W*(?:\w+[\s-]?){0,5}$",
+    r"^\W*(?:error\s*)?(?:http\s*)?[45]\d\d\b\W*(?-i:(?:[A-Z][A-Za-z'-]+\s?){0,4})$",
     r"^\W*(?:[45]\d\d\W*)?(?:(?:page |file |document )?not found|forbidden|bad request|unauthori[sz]ed|bad gateway|service (?:temporarily )?unavailable|"
     r"internal server error|server error|gateway time-?out|request time-?out|too many requests|access denied|permission denied|session expired|"
     r"an? (?:unexpected )?error occurr?ed|something went wrong|connection (?:refused|reset|timed out)|(?:this|the) (?:page|site) (?:isn't|is not) (?:working|available)|error establishing an? database connection|oops|whoops|uh-oh|sorry|"
@@ -201,15 +208,6 @@ _CHROME = [
 _QUOTE = re.compile(r"[\"“”„«»「」]")
 _any = lambda patterns, flags=re.I: re.compile("|".join(f"(?:{p})" for p in patterns), flags)
 _RESIDUE_RE, _NOTICE_RE, _CHROME_RE = _any(_ERROR_TITLE + _ERROR + _FILLER), _any(_NOTICE), _any(_CHROME)
-_PRESENT = re.compile(
-    _SCRIPT
-    + r"|[45]\d\d|error|not found|denied|forbidden|unavailable|went wrong|oops|session|fail|can'?t|cannot|couldn|did not|does not|unable|maintenance|"
-    r"placeholder|sample|dummy|filler|lorem|replace this|content here|text here|add a|insert|type |test|blah|foo|coming soon|try again|"
-    r"fehler|gefunden|verweigert|verfügbar|existiert|text|inhalt|erreur|introuvable|refusé|faux|votre|página|servidor|denegado|relleno|ejemplo|aquí|"
-    r"错误|不存在|拒绝|不可用|占位|示例|测试|填充|稍后|エラー|見つかり|拒否|ダミー|サンプル|テスト|ここに|しばらく",
-    re.I,
-)
-
 #: Words of pseudo-Latin filler (fixed values).
 LATIN = frozenset(
     "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt dolor dolore duis ea eiusmod elit enim "
@@ -228,30 +226,34 @@ _TYPING = re.compile(r"(?:\b(test|blah|bla|foo|asdf|qwerty)\b\W*)(?:\1\b\W*)+|(
 
 
 def _units(text: str):
-    """Sentences, line by line."""
-    for line in text.split("\n"):
-        for part in _UNIT_END.split(line):
-            if part.strip():
-                yield part.strip()
+    """Sentences, line by line and only as far as they are asked for; mark-up ends one too."""
+    start = 0
+    while start <= len(text):
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        for piece in _TAG.sub("\n", line).split("\n") if "<" in line else (line,):
+            for part in _UNIT_END.split(piece):
+                if part.strip():
+                    yield part.strip()
+        start = end + 1
 
 
 _JSON_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"\s*(:?)')
 
 
 def _body(text: str) -> str:
-    """Texts inside mark-up, or a whole JSON document's string values, one per line."""
+    """The text, or of a whole JSON document about an error the string values, one per line."""
     if text.lstrip()[:1] in "{[" and text.rstrip()[-1:] in "}]" and '"' in text:
         values = [m.group(1) for m in _JSON_STRING.finditer(text) if not m.group(2)]
         if values and re.search(r'"(?:error|errors|message|code|status|detail)"\s*:', text, re.I):
             return "\n".join(values)
-    return _TAG.sub("\n", text) if "<" in text else text
+    return text
 
 
 def no_body(text: str) -> bool:
     """Whether a normalised text holds filler, an error message or a script notice and nothing else."""
     latin = _latin(_WORD.findall(text[:400]))
-    if not latin and not _PRESENT.search(text):
-        return False
     residue = 0
     for n, unit in enumerate(_units(_body(text))):
         plain = _TYPING.sub(" ", unit)
