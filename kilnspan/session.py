@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Default bound, in rows, of a side that is broadcast after its rows were counted.
-BROADCAST_ROWS = 200_000
+#: Default bound, in rows, of a side that is broadcast after its rows were counted; such sides are a few
+#: numbers and names wide, so this is some 50 MB.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
