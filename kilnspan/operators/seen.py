@@ -35,7 +35,7 @@ from ..session import cut, shared_folder, small_side
 
 WORD_BITS, LOW_BITS = 62, 16
 #: Rows of a stretch within which repeats are set aside, and rows for which a shard is made.
-STRETCH, SHARD_ROWS = 262_144, 400_000
+STRETCH, SHARD_ROWS = 262_144, 100_000
 _LAST = (1 << 63) - 1
 
 MESSAGE_NAMES = ("model_id", "act_name", "direction", "phase")
@@ -233,7 +233,8 @@ def repeats(rows: DataFrame, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequ
         again, _ = select_arrivals(arrivals, words, want_bits=False)
         return arrivals.loc[again, ["ord"]]
 
-    found = spread.groupBy("shard").applyInPandas(pick, "ord bigint")
+    # As many tasks as shards, whatever the session's number of partitions.
+    found = spread.repartition(shards, "shard").groupBy("shard").applyInPandas(pick, "ord bigint")
     return found.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(order))
 
 
