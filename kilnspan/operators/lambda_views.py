@@ -19,6 +19,8 @@ not counted.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ class LambdaView:
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
-        self.folder = folder or f"{shared_folder(spark)}/views-{id(self)}"
+        self.folder = folder or f"{shared_folder(spark)}/views-{uuid.uuid4().hex}"
         self.taken, self.version = -1, -1
 
     def take(self, batch: DataFrame, number: int) -> None:

@@ -19,6 +19,7 @@ order and key are repeats of one another; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -251,7 +252,7 @@ class SeenStore:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequence[str] = MESSAGE_NUMBERS, order: str = "row_id", shards: int = 8) -> None:
         self.spark, self.names, self.numbers, self.order, self.shards = spark, list(names), list(numbers), order, shards
-        self.folder = folder or f"{shared_folder(spark)}/seen-{id(self)}"
+        self.folder = folder or f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
 
     def version(self) -> int:
         """The number of the last batch taken, or -1."""
