@@ -71,7 +71,7 @@ _OUT = "source string, container_id string, doc_id {key}, piece int, tokens bigi
 def _pack_group(group: pd.DataFrame) -> pd.DataFrame:
     """Pack one group of one source."""
     source, part, capacity = group["__source"].iloc[0], group["__group"].iloc[0], group["__capacity"].iloc[0]
-    group = group.sort_values(["__key", "__size"], kind="stable")
+    group = group[group["__size"] > 0].sort_values(["__key", "__size"], kind="stable")  # here, as a filter above would encode twice
     keys, sizes = group["__key"].tolist(), [int(s) for s in group["__size"]]
     if pd.isna(capacity) or capacity < 1:
         return pd.DataFrame({"source": source, "container_id": None, "doc_id": keys, "piece": 0, "tokens": sizes, "capacity": None if pd.isna(capacity) else capacity})
@@ -102,7 +102,7 @@ def pack(items: DataFrame, containers: DataFrame, counts: DataFrame, key: str, s
     bounds = bounds.join(F.broadcast(counts.select(F.col("source").alias("__source"), "items")), "__source", "left")
     groups = F.greatest(F.lit(1), F.ceil(F.coalesce("items", F.lit(1)) / F.lit(group_items))).cast("int")
     bounds = bounds.select("__source", "__capacity", groups.alias("__groups"))
-    narrow = items.select(F.col(source).alias("__source"), F.col(key).alias("__key"), F.col(size).cast("bigint").alias("__size")).where("__size > 0")
+    narrow = items.select(F.col(source).alias("__source"), F.col(key).alias("__key"), F.col(size).cast("bigint").alias("__size"))
     salted = narrow.join(F.broadcast(bounds), "__source", "left").withColumn(
         "__group", F.pmod(F.xxhash64("__key", F.lit(7)), F.coalesce("__groups", F.lit(64))).cast("int")
     )
