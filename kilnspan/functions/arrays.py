@@ -60,6 +60,17 @@ def token_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else levenshtein(a, b) for a, b in zip(left, right, strict=True)], dtype="Int32")
 
 
+def token_word(tokens: Column) -> Column:
+    """A token sequence as a string of as many characters, equal for equal sequences.
+
+    Tokens below 55,000 and layer separators have a code point of their own, outside the
+    surrogates; any other token is an error.
+    """
+    plain, separator = lambda t: t.between(0, 54_999), lambda t: t.between(SEPARATOR_BASE, SEPARATOR_BASE + 6_000)
+    code = lambda t: F.when(plain(t), t + 1).when(separator(t), t - SEPARATOR_BASE + 0xE000).otherwise(F.raise_error("token out of range").cast("int"))
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(code(t)), 4, "0")), "")), "UTF-16BE")
+
+
 def project(weights_column: str = "weights", probs_column: str = "probs"):
     """Arrow function (probs of shape E, weights flat E x H) -> their product of length H."""
 

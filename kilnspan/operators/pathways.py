@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..checks import one_sided, require, require_empty
-from ..functions.arrays import consistency, pathway_sequence, pathway_tokens, project, token_levenshtein
+from ..functions.arrays import consistency, pathway_sequence, pathway_tokens, project, token_word
 from ..session import small_side
 
 SAMPLE = ["model_id", "phase", "global_batch_id", "dp_rank", "microbatch_id", "sample_index"]
@@ -77,18 +77,19 @@ def window_distances(samples: DataFrame, iterations: DataFrame, sizes: Sequence[
     """Pairs, sum and mean edit distance per window and dataset (mean null where there is no pair).
 
     Equal pathways of an iteration are one weighted row; the distance of two pathways is
-    computed once per pair of iterations, whatever the number of windows that hold it:
+    computed once per pair of iterations, in the JVM, whatever the number of windows that hold it:
     sums per (iteration, iteration) pair within the largest window are what the windows add up.
     """
     ranked = dense_iterations(iterations, iteration, by)
-    rows = samples.join(ranked, [*by, iteration]).groupBy(*by, "dataset_id", "rn", "pathway").agg(F.count(F.lit(1)).alias("n"))
+    words = samples.select(*by, iteration, "dataset_id", token_word(F.col("pathway")).alias("pathway"))
+    rows = words.join(ranked, [*by, iteration]).groupBy(*by, "dataset_id", "rn", "pathway").agg(F.count(F.lit(1)).alias("n"))
     span = max(sizes)
     left = rows.select(*by, "dataset_id", F.col("rn").alias("i"), F.col("pathway").alias("a"), F.col("n").alias("na"))
     # Partner iterations are named explicitly, so the join is on equal keys.
     left = left.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("i") + span - 1)))
     right = rows.select(*by, "dataset_id", F.col("rn").alias("j"), F.col("pathway").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, [*by, "dataset_id", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    sums = pairs.select(*by, "dataset_id", "i", "j", (token_levenshtein("a", "b").cast("bigint") * F.col("na") * F.col("nb")).alias("d"))
+    sums = pairs.select(*by, "dataset_id", "i", "j", (F.levenshtein("a", "b").cast("bigint") * F.col("na") * F.col("nb")).alias("d"))
     sums = sums.groupBy(*by, "dataset_id", "i", "j").agg(F.sum("d").alias("d"))
     last = ranked.groupBy(*by).agg(F.max("rn").alias("last")) if by else ranked.agg(F.max("rn").alias("last"))
     sums = sums.join(last, list(by)) if by else sums.crossJoin(F.broadcast(last))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import checks
 from ..functions import arrays
-from ..operators import asof, attempts, contribution, experts, lineage, logs, loss_slope, pathways, router, scalars, segments, transports
+from ..operators import asof, attempts, contribution, experts, lineage, logs, loss_slope, pathways, reconstruct, router, scalars, segments, topology, transports
 from ..schema import KEY
-from ..sources import records
+from ..session import shared_folder
+from ..sources import records, tensors
+from ..streaming import controller
 from . import bridge
 from .bridge import LOAD_SQL, SAMPLES_SQL, TELEMETRY_SQL, TURNS_SQL, VECTORS_SQL, read
 
@@ -694,3 +698,128 @@ def grid_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Where a model's steps and layers are not the planned grid of 10 x 16 with two microbatches."""
     rows = bridge.clean_floats(spark, folder).where("model_id = 'olm-aurora-8x' and act_name = 'router_token_entropy_mean' and phase = 'train'")
     return contribution.grid_gaps(rows, range(1, 11), range(16), 2)
+
+
+# ---------------------------------------------------------------- tensors, packing, reconstruction
+
+
+@query("select vec_id, 64::bigint elements, list_transform(embedding, lambda x: round(x::double, 5)) \"values\" from embeddings")
+def decoded_tensors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors stored as bytes and read back by type and shape."""
+    @F.pandas_udf("binary")
+    def stored(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: x.astype("<f4").tobytes())
+
+    rows = read(spark, folder, "embeddings").select("vec_id", F.lit("router_probs_mean").alias("act_name"), F.lit("torch.float32").alias("dtype"), F.array(F.lit(64).cast("bigint")).alias("shape"), stored("embedding").alias("bytes"))
+    out = tensors.decoded(rows, tensors.PROBS)
+    return out.select("vec_id", F.get("shape", F.lit(0)).alias("elements"), F.transform("values", lambda x: F.round(x, 5)).alias("values"))
+
+
+@query(
+    """with t as (select vec_id, unnest(range(8)) s, unnest([embedding[i * 8 + 1 : i * 8 + 8] for i in range(8)]) l from embeddings), x as (select vec_id, s, unnest(range(8)) b, unnest(l)::double v from t)
+select vec_id, list(round(v, 5) order by b, s) packed from x where s < (vec_id + b) % 9 group by 1"""
+)
+def packed_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Valid prefixes of 8 samples packed one after another (vectors as [8 places][8 samples])."""
+    parts = F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(8)])
+    valid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: ((F.col("vec_id") + b) % 9).cast("int"))
+    out = read(spark, folder, "embeddings").select("vec_id", transports.seq_prefix_pack(parts, valid).alias("p"))
+    return out.where(F.size("p") > 0).select("vec_id", F.transform("p", lambda x: F.round(x.cast("double"), 5)).alias("packed"))
+
+
+@query(
+    """with x as (select vec_id, unnest(range(64)) i, unnest(embedding)::double v from embeddings), g as (select vec_id, k, unnest([0, 10, 30, 30]) a, unnest([10, 20, 30, 64]) b, k2 from (select vec_id, 0 k, 0 k2 from embeddings)),
+s as (select vec_id, a, b, row_number() over (partition by vec_id order by a, b) - 1 n from g)
+select s.vec_id, s.n::integer segment, round(coalesce(sum(v) filter (v > 0), 0) / greatest(count(*) filter (v > 0), 1), 6) loss, count(*) filter (v > 0) token_count from s left join x on x.vec_id = s.vec_id and x.i >= a and x.i < b group by 1, 2"""
+)
+def segment_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """Mask-weighted means of four segments of a packed sequence, one of them empty."""
+    ints = lambda *v: F.array(*map(F.lit, v))
+    rows = read(spark, folder, "embeddings").select("vec_id", "embedding", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("mask"), ints(0, 10, 30, 30).alias("starts"), ints(10, 20, 30, 64).alias("ends"))
+    out = router.segment_losses(rows, "embedding").select("vec_id", F.posexplode("segments").alias("segment", "x"))
+    return out.select("vec_id", "segment", F.round("x.loss", 6).alias("loss"), "x.token_count")
+
+
+@query(
+    """with x as (select label, vec_id, vec_id % 24 "row", unnest(range(16))::integer expert_id, unnest(embedding[1:16]) v from embeddings)
+select label, "row" % 3 sample_index, expert_id, count(*) filter ("row" // 3 < [8, 4, 0][("row" % 3 + 1)::integer] and v > 0) token_count from x group by 1, 2, 3"""
+)
+def routed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per sample and expert out of a routing map (signs of vectors, three samples)."""
+    rows = read(spark, folder, "embeddings").select("label", (F.col("vec_id") % 24).alias("row"), F.array(F.lit(8), F.lit(4), F.lit(0)).alias("valid"), F.transform(F.slice("embedding", 1, 16), lambda x: x > 0).alias("routed"))
+    return router.routed_counts(rows, ["label"], 3, 16)
+
+
+@query(
+    TELEMETRY_SQL
+    + """, e as (select distinct model_id, phase, global_batch_id, attempt_id, microbatch_id, layer_no, direction, act_name from (select * replace (-1 as layer_no) from cf where act_name in ('lm_per_sample_loss', 'router_token_entropy_mean')))
+select model_id, phase, global_batch_id, attempt_id, microbatch_id, layer_no, direction from e group by all having count(*) < 2"""
+)
+def incomplete_executions(spark: SparkSession, folder: str) -> DataFrame:
+    """Executions (layers taken together) that lack their loss or their entropy."""
+    acts = ("lm_per_sample_loss", "router_token_entropy_mean")
+    return reconstruct.incomplete_executions(bridge.clean_floats(spark, folder).withColumn("layer_no", F.lit(-1)), acts).drop("acts")
+
+
+@query("select r::integer \"rank\", (r % 4)::integer tp, (r // 4 % 2)::integer cp, (r // 8 % 4)::integer dp, (r // 32)::integer pp from (select unnest(range(64)) r)")
+def rank_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Coordinates of 64 ranks, tensor parallelism varying fastest."""
+    ranks = spark.range(64).select(F.col("id").cast("int").alias("rank"))
+    return ranks.select("rank", *topology.grid_coordinates(F.col("rank"), {"tp": 4, "cp": 2, "dp": 4, "pp": 2}))
+
+
+def _two_rank_manifest() -> topology.Manifest:
+    own, both = [(0,), (1,)], [(0, 1)]
+    return topology.Manifest("run", own, own, own, both, both, own, own, both, {0: 0}, [(0, 2), (1, 3)], 2)
+
+
+@query(
+    """with e as (select vec_id, vec_id // 40 mb, vec_id % 2 rk, row_number() over (partition by vec_id // 40, vec_id % 2 order by vec_id) - 1 tok, least(abs(embedding[1] * 1000)::bigint % 4, abs(embedding[2] * 1000)::bigint % 3) a, label from embeddings),
+r as (select mb, rk, tok, 0 slot, a expert from e union all select mb, rk, tok, 1, a + 1 + (case when a < 2 then 1 else 0 end) * (tok % 2) from e),
+q as (select *, case when expert in (0, 2) then 0 else 1 end dest, case when expert in (0, 1) then 0 else 1 end pos from r where expert < 4),
+s as (select *, row_number() over (partition by mb, rk order by expert, tok * 2 + slot) src from q), p as (select *, row_number() over (partition by mb, dest order by pos, rk, src) - 1 n from s)
+select mb microbatch_id, rk::integer dp_rank, tok token_index, sum(n + 1000 * dest)::double combined from p group by 1, 2, 3"""
+)
+def reconstructed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Two expert-parallel ranks put back together; a packed row holds its own place, so sums tell where routes were found."""
+    topo = _two_rank_manifest()
+    e = read(spark, folder, "embeddings").select("vec_id", F.expr("vec_id div 40").alias("mb"), (F.col("vec_id") % 2).cast("int").alias("rk"), F.expr("least(cast(round(abs(embedding[0] * 1000)) as bigint) % 4, cast(round(abs(embedding[1] * 1000)) as bigint) % 3)").cast("int").alias("a"))
+    at = [F.lit("run").alias("model_id"), F.lit("train").alias("phase"), F.lit(1).cast("bigint").alias("global_batch_id"), F.lit(0).alias("attempt_id"), F.col("mb").alias("microbatch_id"), F.lit(0).alias("layer_no"), F.lit("fwd").alias("direction")]
+    listed = e.groupBy("mb", "rk").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "a"))), lambda x: x["a"]).alias("a"))
+    second = lambda x, i: x + 1 + F.when(x < 2, i % 2).otherwise(0)
+    made = listed.withColumn("ids", F.transform("a", lambda x, i: F.array(x, second(x, i)))).withColumn("n", F.size("a"))
+    where = [*at, F.col("rk").alias("shard_rank"), F.col("rk").alias("dp_rank"), F.lit(0).alias("sample_index"), F.lit(0).cast("bigint").alias("token_start"), F.col("n").cast("bigint").alias("token_end"), F.lit(0).alias("dataset_id")]
+    ids = made.select(*where, F.col("ids").alias("matrix"))
+    weights = made.select(*where, F.transform("ids", lambda r: F.transform(r, lambda _: F.lit(0.5))).alias("matrix"))
+    routes = reconstruct.route_table(ids, weights, topo, strict=False)
+    dest = F.when(F.col("expert_id").isin(0, 2), 0).otherwise(1)
+    packed = routes.withColumn("shard_rank", dest).groupBy(*reconstruct.EXECUTION, "shard_rank").agg(F.count(F.lit(1)).alias("c"))
+    packed = packed.withColumn("rows", F.transform(F.sequence(F.lit(0), F.col("c").cast("int") - 1), lambda i: F.array((i + 1000 * F.col("shard_rank")).cast("double"))))
+    found = reconstruct.token_table(reconstruct.reconstruct(ids, weights, ids.limit(0), packed, topo, strict=False))
+    return found.select("microbatch_id", "dp_rank", "token_index", F.get("combined", F.lit(0)).alias("combined"))
+
+
+# ---------------------------------------------------------------- a stream
+
+
+@query(
+    """with s as (select event_id // 40 + 1 it, (user_id % 4)::integer d, value v, event_id % 7 t from events), f as (select it from s group by 1 having count(*) = 40),
+ok as (select it from (select it, row_number() over (order by it) n from f) where it = n), g as (select it, unnest([0, 1, 2, 3])::integer d from ok),
+m as (select g.it, g.d, count(s.v) n, count(s.v) filter (t > 0) p, coalesce(sum(t) filter (t > 0), 0)::bigint k, sum(v * t) filter (t > 0) w from g left join s on s.it = g.it and s.d = g.d group by 1, 2)
+select it training_iteration_id, d dataset_id, case when n = 0 then 'no_samples' when k = 0 then 'no_target_tokens' else '' end incomplete_reason, n sample_count, p positive_loss_sample_count, k target_token_count, round(case when k > 0 then w / k end, 9) loss_value from m"""
+)
+def streamed_iterations(spark: SparkSession, folder: str) -> DataFrame:
+    """The event stream through the online control: iterations of 40 events, emitted in order once complete."""
+    source = read(spark, folder, "events")
+    events = spark.readStream.schema(source.schema).parquet(f"{folder}/event[s].parquet")  # a pattern, as a stream's own path must be a folder
+    sample = lambda accepted, *rest: F.struct(F.lit(accepted).cast("boolean").alias("accepted"), *rest)
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    row = sample(None, (F.col("user_id") % 4).cast("int").alias("dataset_id"), F.col("event_id").alias("sample_key"), F.col("value").alias("loss"), (F.col("event_id") % 7).alias("tokens"))
+    mark = sample(True, null("int", "dataset_id"), null("bigint", "sample_key"), null("double", "loss"), null("bigint", "tokens"))
+    rows = F.when(F.col("event_id") % 40 == 0, F.array(row, mark)).otherwise(F.array(row))
+    stream = events.select(F.lit("run").alias("run_id"), (F.expr("event_id div 40") + 1).alias("training_iteration_id"), F.inline(rows))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = controller.complete_iterations(stream, 40, [0, 1, 2, 3])
+    out.writeStream.option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{at}/rows")
+    return got.select("training_iteration_id", "dataset_id", "incomplete_reason", "sample_count", "positive_loss_sample_count", "target_token_count", F.round("loss_value", 9).alias("loss_value"))
