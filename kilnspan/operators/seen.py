@@ -181,26 +181,29 @@ def unpack_bits(container: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(body, bitorder="little"))
 
 
-def select_arrivals(arrivals: pd.DataFrame, words: Sequence[str], stored: pd.DataFrame | None = None, want_bits: bool = True) -> tuple[np.ndarray, list[tuple]]:
-    """For one shard: which arrivals are repeats, and the containers that have new bits, united with the stored ones."""
+def select_arrivals(arrivals: pd.DataFrame, words: Sequence[str], stored: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+    """For one shard: which arrivals are repeats, and the containers that have new bits, united with the stored ones.
+
+    Arrivals are laid out by container, bit and order; of each bit that the container does
+    not hold yet, the first is selected, and the bit is set.
+    """
     again = arrivals["again"].to_numpy().copy()
     rest = np.flatnonzero(~again)
     ids = [arrivals[w].to_numpy()[rest] for w in words]
     places, first = _firsts(ids, arrivals["ord"].to_numpy()[rest])
     again[rest[places[~first]]] = True
-    if not want_bits and (stored is None or stored.empty):
-        return again, []
     unique = places[first]
     high = [*(w[unique] for w in ids[:-1]), ids[-1][unique] >> LOW_BITS]
     low = ids[-1][unique] & ((1 << LOW_BITS) - 1)
     starts = np.ones(len(unique), dtype=bool)
     if len(unique) > 1:
         starts[1:] = np.any([h[1:] != h[:-1] for h in high], axis=0)
-    known = {} if stored is None else {tuple(r[:-1]): r[-1] for r in stored[[*words, "bits"]].itertuples(index=False, name=None)}
+    known = {tuple(r[:-1]): r[-1] for r in stored[[*words, "bits"]].itertuples(index=False, name=None)}
     containers = []
     bounds = [*np.flatnonzero(starts).tolist(), len(unique)]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        container, bits = tuple(int(h[a]) for h in high), low[a:b]
+    keys = list(zip(*(h[starts].tolist() for h in high), strict=True))
+    for container, a, b in zip(keys, bounds, bounds[1:], strict=False):
+        bits = low[a:b]
         if container in known:
             old = unpack_bits(known[container])
             fresh = ~np.isin(bits, old, assume_unique=True)
@@ -212,7 +215,7 @@ def select_arrivals(arrivals: pd.DataFrame, words: Sequence[str], stored: pd.Dat
     return again, containers
 
 
-# ---------------------------------------------------------------- one table
+# ---------------------------------------------------------------- messages
 
 
 def message_rows(df: DataFrame) -> DataFrame:
@@ -223,20 +226,9 @@ def message_rows(df: DataFrame) -> DataFrame:
 
 
 def repeats(rows: DataFrame, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequence[str] = MESSAGE_NUMBERS, order: str = "row_id") -> DataFrame:
-    """(order): every row but the first of its message, for a table taken as one batch."""
-    layout, dictionary = Layout.of(rows, numbers), grow_dictionary(rows, names)
-    ids = encode(rows, names, dictionary, layout, order)
-    words = [c for c in ids.columns if c != "ord"]
+    """(order): every row but the first of its message, for a table taken as the first batch of a new store."""
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    spread = thin_out(ids, words, shards)
-
-    def pick(arrivals: pd.DataFrame) -> pd.DataFrame:
-        again, _ = select_arrivals(arrivals, words, want_bits=False)
-        return arrivals.loc[again, ["ord"]]
-
-    # As many tasks as shards, whatever the session's number of partitions.
-    found = spread.repartition(shards, "shard").groupBy("shard").applyInPandas(pick, "ord bigint")
-    return found.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(order))
+    return SeenStore(rows.sparkSession, None, names, numbers, order, shards).take(rows, 0, repeats=True)
 
 
 # ---------------------------------------------------------------- many batches
@@ -268,8 +260,8 @@ class SeenStore:
         layout = Layout(tuple((r["name"], r["low"], r["bits"]) for r in fields))
         return layout, self.spark.read.parquet(f"{at}/names"), self.spark.read.parquet(f"{at}/bits")
 
-    def take(self, rows: DataFrame, number: int) -> DataFrame:
-        """Add a batch; the rows' orders that stay (first deliveries).  A number already taken gives no rows."""
+    def take(self, rows: DataFrame, number: int, repeats: bool = False) -> DataFrame:
+        """Add a batch; the orders of the rows that stay (first deliveries), or of the repeats.  A number already taken gives no rows."""
         last = self.version()
         if number <= last:
             return rows.select(self.order).where("false")
@@ -286,15 +278,20 @@ class SeenStore:
 
         def join(key: tuple, arrivals: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
             again, new = select_arrivals(arrivals, words, kept)
-            stay = pd.DataFrame({"ord": arrivals.loc[~again, "ord"]})
+            told = arrivals["ord"].to_numpy()[again if repeats else ~again].tolist()
             changed = {c[:-1] for c in new}
-            same = [r for r in kept[[*words, "bits"]].itertuples(index=False, name=None) if tuple(r[:-1]) not in changed]
-            containers = pd.DataFrame([*new, *same], columns=[*words, "bits"])
-            return pd.concat([stay, containers]).assign(shard=key[0])[["shard", "ord", *words, "bits"]].astype({"ord": "Int64", **{w: "Int64" for w in words}})
+            containers = new + [r for r in kept[[*words, "bits"]].itertuples(index=False, name=None) if tuple(r[:-1]) not in changed]
+            none = [None] * len(told)
+            columns = {"shard": [key[0]] * (len(told) + len(containers)), "ord": pd.array(told + [None] * len(containers), dtype="Int64")}
+            for n, w in enumerate(words):
+                columns[w] = pd.array(none + [c[n] for c in containers], dtype="Int64")
+            return pd.DataFrame(columns | {"bits": none + [c[-1] for c in containers]})
 
         if stored is None:
             stored = self.spark.createDataFrame([], f"shard int, {columns}, bits binary")
-        both = cut(spread.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(join, out))
+        # As many tasks as shards, whatever the session's number of partitions.
+        apart = lambda df: df.repartition(self.shards, "shard").groupBy("shard")
+        both = cut(apart(spread).cogroup(apart(stored)).applyInPandas(join, out))
         at = f"{self.folder}/v{number}"
         both.where("bits is not null").select("shard", *words, "bits").write.mode("overwrite").parquet(f"{at}/bits")
         dictionary.write.mode("overwrite").parquet(f"{at}/names")
