@@ -6,8 +6,8 @@
 2. *Thin out.*  Within stretches of each input partition all but the first arrival of an
    id are set aside at once, so a message that makes up a third of all rows reaches its
    shard as one row per stretch.
-3. *Select.*  Ids are spread over shards by hash.  A shard's seen-bitmap consists of
-   containers of 2^16 bits, stored as a sorted list or as a bitmap, whichever is shorter.
+3. *Select.*  Ids are spread over shards by a hash of their container.  A shard's
+   seen-bitmap consists of containers of 2^16 bits, stored as a sorted list or as a bitmap, whichever is shorter.
    Of the arrivals of an unseen bit the one with the smallest order (row_id) stays.
 4. *Union.*  New bits are joined to the stored containers; a new version of the state is
    published in one step once it is written whole, so a batch counts fully or not at all.
@@ -133,8 +133,8 @@ def _firsts(ids: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.nd
 def thin_out(ids: DataFrame, words: Sequence[str], shards: int) -> DataFrame:
     """Mark as repeats all but the first arrival of an id within each stretch of a partition.
 
-    Adds ``again`` and ``shard``: the id's shard, or for a row already known to be a
-    repeat any shard, so that these are spread evenly.
+    Adds ``again`` and ``shard``: the shard of the id's container (at most 2^16 ids), or
+    for a row already known to be a repeat any shard, so that these are spread evenly.
     """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,7 @@ def thin_out(ids: DataFrame, words: Sequence[str], shards: int) -> DataFrame:
 
     schema = ", ".join(f"{c} bigint" for c in [*words, "ord"]) + ", again boolean"
     marked = ids.mapInPandas(mark, schema)
-    home = F.when(F.col("again"), F.xxhash64("ord")).otherwise(F.xxhash64(*words))
+    home = F.when(F.col("again"), F.xxhash64("ord")).otherwise(F.xxhash64(*words[:-1], F.shiftright(words[-1], LOW_BITS)))
     return marked.withColumn("shard", F.pmod(home, F.lit(shards)).cast("int"))
 
 
@@ -306,7 +306,7 @@ class SeenStore:
         moved = ids.select("w0", *old.unpack()).select("w0", *new.pack())
         words = moved.columns
         low = F.col(words[-1]).bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))
-        shard = F.pmod(F.xxhash64(*words), F.lit(self.shards)).cast("int")
+        shard = F.pmod(F.xxhash64(*words[:-1], F.shiftright(words[-1], LOW_BITS)), F.lit(self.shards)).cast("int")
         moved = moved.select(shard.alias("shard"), *words[:-1], F.shiftright(words[-1], LOW_BITS).alias(words[-1]), low.alias("bit"))
 
         def gather(key: tuple, bits: pd.DataFrame) -> pd.DataFrame:
