@@ -3,7 +3,8 @@
 Each source has a weight schedule: a step function of training time, made of the
 decisions' weights.  Integrating it gives the source's cumulative token demand
 ``D(t)``; its rows, laid end to end, occupy token offsets, and the row at offset ``c``
-trains at the time ``t`` with ``D(t) = c`` (the demand inverted).  Rows are then
+trains at the time ``t`` with ``D(t) = c`` (the demand inverted: the schedule stands as a
+prefix-summed table of all its changes, with which the offsets are merged).  Rows are then
 range-sorted by that position.  A source whose demand exceeds its tokens is passed over
 again, at most ``max_repeats`` times in all.
 
@@ -20,16 +21,15 @@ that sum to 0 give no target share.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Most rows of mixture_sources, which is read to the driver: it has one row per source.
 MAX_SOURCES = 10_000
-#: Steps into which the curriculum's time axis is divided; bounds what reaches the driver.
-STEPS = 1024
-#: Rows of a source per block of the two-level prefix sum.
+#: Rows of a source per block of the two-level prefix sum and per range of the merge; times per range of the schedule.
 BLOCK_ROWS = 50_000
 
 
@@ -104,41 +104,78 @@ def judge_windows(windows: DataFrame, decisions: DataFrame, sources: DataFrame,
 # ---------------------------------------------------------------- a mix along the curriculum
 
 
-def weight_schedule(decisions: DataFrame, n: int, steps: int = STEPS) -> np.ndarray:
-    """The integrated schedule: weight of each step (rows) and source (columns), rows summing to 1.
+def held_weights(decisions: DataFrame, n: int) -> DataFrame:
+    """From when (a) until when (b) each usable decision holds, with its weights w summing to 1.
 
     A decision holds from its effective_training_iteration to the run's next one, the last
-    as long as the one before it.  Runs weigh the same at every time.  At most
-    ``steps`` x ``n`` sums reach the driver.
+    as long as the one before it.
     """
     fit = decisions.where(usable(F.col("weights"), n) & F.col("effective_training_iteration").isNotNull())
     fit = fit.groupBy("run_id", F.col("effective_training_iteration").alias("a")).agg(F.max_by("weights", F.struct("produced_at_unix_ns", "decision_id")).alias("weights"))
     order = Window.partitionBy("run_id").orderBy("a")
     spans = fit.select("*", F.lead("a").over(order).alias("b"), (F.col("a") - F.lag("a").over(order)).alias("before"))
-    spans = spans.select("a", F.coalesce("b", F.col("a") + F.coalesce("before", F.lit(1))).alias("b"), shares(F.col("weights")).alias("w")).where("w[0] is not null")
-    ends = spans.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
-    if ends is None or ends["a"] is None:
-        return np.full((1, n), 1 / n)
-    low, width = float(ends["a"]), (ends["b"] - ends["a"]) / steps
-    at = lambda c: (F.col(c) - low) / width
-    held = spans.select("w", at("a").alias("x"), at("b").alias("y"))
-    held = held.select("w", "x", "y", F.explode(F.sequence(F.floor("x").cast("int"), F.least(F.ceil("y").cast("int"), F.lit(steps)) - 1)).alias("step"))
-    part = F.greatest(F.lit(0.0), F.least("y", F.col("step") + 1.0) - F.greatest("x", F.col("step") + 0.0))
-    sums = held.select("step", part.alias("part"), "w").groupBy("step").agg(*[F.sum(F.col("part") * F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n)])
-    out = np.zeros((steps, n))
-    for r in sums.collect():
-        out[r["step"]] = r[1:]
-    total = out.sum(axis=1, keepdims=True)
-    mean = out.sum(axis=0) / out.sum()
-    return np.where(total > 0, out / np.where(total > 0, total, 1), mean)
-
-
-def demand_curves(schedule: np.ndarray) -> np.ndarray:
-    """Cumulative demand of each source at the ends of the steps, as shares of all tokens."""
-    return np.vstack([np.zeros(schedule.shape[1]), np.cumsum(schedule, axis=0)]) / len(schedule)
-
-
-def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "row_id", size: str = "target_token_count", total_tokens: int | None = None, steps: int = STEPS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    return spans.select("a", F.coalesce("b", F.col("a") + F.coalesce("before", F.lit(1))).alias("b"), shares(F.col("weights")).alias("w")).where("w[0] is not null")
+
+
+def demand_segments(decisions: DataFrame, n: int) -> DataFrame:
+    """The integrated schedule, exact at the decisions' own times: (i, t0, t1, c0, c1).
+
+    Between two neighbouring times at which any decision begins or ends, the demand of source i
+    grows in a straight line from c0 to c1, as shares of all tokens, while the position grows
+    from t0 to t1; stretches without demand are left out.  Runs weigh the same at every time,
+    and times at which none holds get the mean of all.  Sums are decimal, so that what a
+    decision adds at its beginning is taken away at its end, to the last digit.  Prefix sums
+    are taken in two levels, ranges of time and times within a range.
+    """
+    spark = decisions.sparkSession
+    spans = cut(held_weights(decisions, n))
+    ends = spans.agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum(F.col("b") - F.col("a")).alias("held")).first()
+    if ends["a"] is None:
+        return spark.range(n).select(F.col("id").cast("int").alias("i"), F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), F.lit(0.0).alias("c0"), F.lit(1 / n).alias("c1"))
+    low, length = ends["a"], float(ends["b"] - ends["a"])
+    each = spans.select("a", "b", F.posexplode("w").alias("i", "w")).withColumn("w", F.col("w").cast("decimal(20,18)"))
+    mean = each.groupBy("i").agg((F.sum(F.col("w").cast("double") * (F.col("b") - F.col("a"))) / F.lit(float(ends["held"]))).alias("mean"))
+    turns = each.select("i", F.inline(F.array(F.struct(F.col("a").alias("t"), F.col("w").alias("dw"), F.lit(1).alias("dn")), F.struct(F.col("b").alias("t"), (-F.col("w")).alias("dw"), F.lit(-1).alias("dn")))))
+    turns = cut(turns.groupBy("i", "t").agg(F.sum("dw").cast("decimal(28,18)").alias("dw"), F.sum("dn").alias("dn")))
+    times = -(-turns.count() // n)
+    turns = cut(turns.repartitionByRange(-(-times // BLOCK_ROWS), "t").withColumn("__range", F.spark_partition_id()))
+
+    per_source = Window.partitionBy("i").orderBy("__range")
+    upto = per_source.rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("i", "__range").orderBy("t")
+    ranges = turns.groupBy("i", "__range").agg(F.min("t").alias("first"), F.sum("dw").alias("dw"), F.sum("dn").alias("dn"))
+    ranges = ranges.select("i", "__range", F.lead("first").over(per_source).alias("next"), F.coalesce(F.sum("dw").over(upto), F.lit(0)).alias("w_base"), F.coalesce(F.sum("dn").over(upto), F.lit(0)).alias("n_base"))
+    turns = turns.select("*", F.lead("t").over(within).alias("later"), F.sum("dw").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("w"), F.sum("dn").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    holding = turns.join(ranges, ["i", "__range"]).join(F.broadcast(mean), "i").withColumn("u", F.coalesce("later", "next")).where("u is not null")
+    rate = F.when(F.col("n") + F.col("n_base") > 0, (F.col("w") + F.col("w_base")).cast("double") / (F.col("n") + F.col("n_base"))).otherwise(F.col("mean"))
+    parts = cut(holding.select("i", "__range", "t", "u", (rate * (F.col("u") - F.col("t")) / F.lit(length)).cast("decimal(28,24)").alias("part")))
+
+    sums = parts.groupBy("i", "__range").agg(F.sum("part").alias("part"))
+    sums = sums.select("i", "__range", F.coalesce(F.sum("part").over(upto), F.lit(0)).alias("base"))
+    upon = parts.select("*", F.sum("part").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).where("part > 0").join(sums, ["i", "__range"])
+    at = lambda t: (F.col(t) - F.lit(low)) / F.lit(length)
+    c1 = F.col("base") + F.col("c")
+    return cut(upon.select("i", at("t").alias("t0"), at("u").alias("t1"), (c1 - F.col("part")).cast("double").alias("c0"), c1.cast("double").alias("c1")))
+
+
+def place(drawn: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows with ``position``, the time at which their source's demand reaches their ``x``.
+
+    Rows and segments are merged in order of demand, in ``bins`` ranges per source, so no
+    source is one task's work; a segment lies in each range that it touches.  Both carry
+    ``bins`` and the source's whole demand, ``share``.
+    """
+    bin_of = lambda x: F.least(F.floor(F.col(x) / F.col("share") * F.col("bins")), F.col("bins") - 1)
+    cover = segments.withColumn("__bin", F.explode(F.sequence(bin_of("c0"), bin_of("c1"))))
+    cover = cover.select("dataset_id", "__bin", F.col("c0").alias("x"), F.struct("c1", "c0", "t0", "t1").alias("__segment"))
+    both = drawn.withColumn("__bin", bin_of("x")).withColumn("__row", F.lit(True)).unionByName(cover, allowMissingColumns=True)
+    order = Window.partitionBy("dataset_id", "__bin").orderBy("x", F.col("__row").asc_nulls_first(), "__segment.c1").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__segment", F.last("__segment", ignorenulls=True).over(order)).where("__row")
+    c1, c0, t0, t1 = (F.col(f"__segment.{f}") for f in ("c1", "c0", "t0", "t1"))
+    return met.withColumn("position", F.least(t1, t0 + F.coalesce(F.try_divide(F.col("x") - c0, c1 - c0), F.lit(0.0)) * (t1 - t0)))
+
+
+def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "row_id", size: str = "target_token_count", total_tokens: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(schedule, shares) of a mix.
 
     schedule: position in [0, 1), row_id, dataset_id, copy, tokens, range-sorted by position.
@@ -157,14 +194,20 @@ def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "r
     ids = [s["dataset_id"] for s in src]
     pool = rows.where(F.col("dataset_id").isin(ids) & (F.col(size) > 0)).select(F.col(key).alias("__key"), "dataset_id", F.col(size).cast("bigint").alias("tokens"))
     sums = {r["dataset_id"]: (r["tokens"], r["rows"]) for r in pool.groupBy("dataset_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
-    curves = demand_curves(weight_schedule(decisions, len(src), steps))
-    share = curves[-1]
+    segments = demand_segments(decisions, len(src))
+    share = np.zeros(len(src))
+    for r in segments.groupBy("i").agg(F.max("c1").alias("c1")).collect():
+        share[r["i"]] = r["c1"]
     have = np.array([float(sums.get(d, (0, 0))[0]) for d in ids])
     cap = np.array([np.inf if s["max_repeats"] is None else max(0, s["max_repeats"]) for s in src])
     most = min((float(h * c / w) for h, c, w in zip(have, cap, share, strict=True) if w > 0), default=0.0)
     total = float(total_tokens) if total_tokens is not None else (most if np.isfinite(most) else float(have.sum()))
     wanted = np.minimum(share * total, have * np.where(np.isfinite(cap), cap, share * total + 1))
-    plan = spark.createDataFrame([(d, float(h), float(x)) for d, h, x in zip(ids, have, wanted, strict=True)], "dataset_id int, pool double, wanted double")
+    bins = [1 + int(sums.get(d, (0, 0))[1] * x / h / BLOCK_ROWS) if h else 1 for d, h, x in zip(ids, have, wanted, strict=True)]
+    plan = spark.createDataFrame(
+        [(i, d, float(h), float(x), float(w), b) for i, (d, h, x, w, b) in enumerate(zip(ids, have, wanted, share, bins, strict=True))],
+        "i int, dataset_id int, pool double, wanted double, share double, bins bigint",
+    )
 
     bits = int(np.ceil(np.log2(max(1, max((r for _, r in sums.values()), default=1) / BLOCK_ROWS)))) if sums else 0
     hashed = pool.withColumn("__h", F.xxhash64(F.col("__key"), F.lit(seed))).withColumn("__block", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
@@ -177,21 +220,11 @@ def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "r
     drawn = laid.join(F.broadcast(plan), "dataset_id").withColumn("__copies", copies).where("__copies > 0")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
 
-    grid, by_id = np.linspace(0, 1, len(curves)), {d: curves[:, i] * total for i, d in enumerate(ids)}
-
-    @F.pandas_udf("double")
-    def invert(dataset: pd.Series, offset: pd.Series) -> pd.Series:
-        out = np.zeros(len(dataset))
-        for d in dataset.unique():
-            here = (dataset == d).to_numpy()
-            out[here] = np.interp(offset[here], by_id[d], grid)
-        return pd.Series(out)
-
-    placed = drawn.select(
-        invert("dataset_id", F.col("__offset") + F.col("copy") * F.col("pool")).alias("position"), F.col("__key").alias(key), "dataset_id", "copy", "tokens"
-    )
+    offset = F.col("__offset") + F.col("copy") * F.col("pool")
+    drawn = drawn.select(F.col("__key").alias(key), "dataset_id", "copy", "tokens", (offset / F.lit(total or 1.0)).alias("x"), "share", "bins")
+    placed = place(drawn, segments.join(F.broadcast(plan), "i")).select("position", key, "dataset_id", "copy", "tokens")
     schedule = placed.orderBy("position", "dataset_id", key, "copy")
-    got = placed.groupBy("dataset_id").agg(F.sum("tokens").alias("tokens"), (F.max("copy") + 1).alias("repeats"))
+    got = drawn.groupBy("dataset_id").agg(F.sum("tokens").alias("tokens"), (F.max("copy") + 1).alias("repeats"))
     target = spark.createDataFrame([(d, float(w), int(h)) for d, w, h in zip(ids, share, have, strict=True)], "dataset_id int, target_share double, pool_tokens bigint")
     report = F.broadcast(target).join(got, "dataset_id", "left").select(
         "dataset_id",

@@ -96,3 +96,47 @@ def test_windows(spark, tmp_path):
 
     assert from_spark(found) == from_sql(str(tmp_path), P1_FOUND)
     assert mixing.judge_windows(*[df.limit(0) for df in tabs.values()]).count() == 0
+
+
+def test_every_decision_counts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 700)
+    sources = [(0, "a", 10, 1), (1, "b", 10, 1)]
+    n = 5000  # far more changes than a grid of 1,024 steps would show
+    decisions = [("r", i, 1 + 50 * i, [1.0 - i % 2, 1.0 * (i % 2)], 1, 0) for i in range(n)]
+    rows = [(i, i % 2, 7, "h") for i in range(6000)]
+    schedule, report = mixing.mix(*tables(spark, rows, decisions, sources))
+    out = schedule.collect()
+    assert len(out) == 6000 and {(r.dataset_id, r.target_share, r.tokens) for r in report.collect()} == {(0, 0.5, 21000), (1, 0.5, 21000)}
+    off = [r for r in out if int(r.position * n + 1e-6) % 2 != r.dataset_id]
+    assert not off, f"{len(off)} of {len(out)} rows train under a decision that gives their source nothing"
+
+
+def test_schedule_against_plain_integration(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 60)
+    rng, n = random.Random(3), 3
+    runs = {"p": [1, 8, 20, 21, 90], "q": [15, 16, 40], "s": [300, 310, 333], "one": [50]}  # nothing holds from 160 to 299
+    runs["p"] += list(range(91, 160))
+    decisions = [(run, i, a, [rng.choice([0.0, 1.0, rng.random()]) for _ in range(n - 1)] + [0.5], 1, 0) for run, at in runs.items() for i, a in enumerate(at)]
+    spans = []
+    for run in runs:
+        mine = [(d[2], np.array(d[3]) / sum(d[3])) for d in decisions if d[0] == run]
+        ends = [a for a, _ in mine[1:]] + [mine[-1][0] + (mine[-1][0] - mine[-2][0] if len(mine) > 1 else 1)]
+        spans += [(a, b, w) for (a, w), b in zip(mine, ends, strict=True)]
+    mean = sum((b - a) * w for a, b, w in spans) / sum(b - a for a, b, _ in spans)
+    low, high = min(a for a, _, _ in spans), max(b for _, b, _ in spans)
+    curve = np.zeros((high - low + 1, n))
+    for t in range(low, high):
+        now = [w for a, b, w in spans if a <= t < b]
+        curve[t - low + 1] = curve[t - low] + (np.mean(now, axis=0) if now else mean) / (high - low)
+    segments = mixing.demand_segments(spark.createDataFrame(decisions, DEC), n).collect()
+    grid = np.linspace(0, 1, high - low + 1)
+    for s in segments:
+        assert [s.c0, s.c1] == pytest.approx([np.interp(t, grid, curve[:, s.i]) for t in (s.t0, s.t1)], abs=1e-12)
+    for i in range(n):
+        assert max(s.c1 for s in segments if s.i == i) == pytest.approx(curve[-1, i], abs=1e-12)
+    rows = [(k, k % 3, 1 + k % 5, "h") for k in range(900)]
+    schedule, _ = mixing.mix(*tables(spark, rows, decisions, [(d, "x", 1, 9) for d in range(n)]), total_tokens=5000)
+    for d in range(n):
+        mine = [r for r in schedule.collect() if r.dataset_id == d]
+        offsets = np.cumsum([0] + [r.tokens for r in mine])[:-1] / 5000
+        assert np.interp([r.position for r in mine], grid, curve[:, d]) == pytest.approx(offsets, abs=1e-9)
