@@ -36,9 +36,9 @@ def parent_validity(parents: DataFrame, keys: Sequence[str], since: Column, unti
     return parents.groupBy(*keys).agg(F.min(since).alias("valid_from"), F.max(F.coalesce(until, F.lit(_ALWAYS))).alias("valid_until"))
 
 
-def merge_keys(refs: DataFrame, parents: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
-    """The linear merge: each key referred to, with the span of its references and its parent's validity."""
-    referred = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("refs"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+def merge_keys(refs: DataFrame, parents: DataFrame, keys: Sequence[str], at: str = "at", within: Sequence[str] = ()) -> DataFrame:
+    """The linear merge: each key referred to (within each value of further columns), with the span of its references and its parent's validity."""
+    referred = refs.groupBy(*keys, *within).agg(F.count(F.lit(1)).alias("refs"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
     return referred.hint("merge").join(parents.hint("merge"), list(keys), "left")
 
 
@@ -111,16 +111,36 @@ def telemetry_orphans(floats: DataFrame, ints: DataFrame, catalog: DataFrame) ->
     return found[0].unionByName(found[1])
 
 
+def day_of(at: Column) -> Column:
+    """UTC day of an instant in nanoseconds."""
+    return F.timestamp_seconds(F.floor(at / 1_000_000_000)).cast("date")
+
+
 def orphans_by_day(orphans: DataFrame) -> DataFrame:
     """Number of orphan references per table, kind, reason and UTC day of receipt."""
-    day = F.timestamp_seconds(F.floor(F.col("at") / 1_000_000_000)).cast("date")
-    return orphans.groupBy("src_table", "ref", "reason", day.alias("day")).agg(F.count(F.lit(1)).alias("references"))
+    return orphans.groupBy("src_table", "ref", "reason", day_of(F.col("at")).alias("day")).agg(F.count(F.lit(1)).alias("references"))
+
+
+def states(refs: DataFrame, parents: DataFrame, keys: Sequence[str], within: Sequence[str], at: str = "at") -> DataFrame:
+    """Number of references per key, further columns (which must tell null times from others) and state, each judged at its own time.
+
+    A key's state only ever goes from late by way of met to deleted, so references whose first
+    and last are in one state all are; the others go back to the rows.
+    """
+    rows = refs.select(*keys, *within, at)
+    merged = cut(merge_keys(rows, parents, keys, at, within))
+    first, last = state(F.col("first_at")), state(F.col("last_at"))
+    whole = merged.where(first == last).select(*keys, *within, last.alias("state"), "refs")
+    mixed = small_side(cut(merged.where(first != last).select(*keys, *within, "valid_from", "valid_until")))
+    own = rows.join(mixed, [*keys, *within]).groupBy(*keys, *within, state(F.col(at)).alias("state"))
+    return whole.unionByName(own.agg(F.count(F.lit(1)).alias("refs")))
 
 
 def reference_states(floats: DataFrame, ints: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Number of keys per kind of reference and state of the merge at the last reference: met, late, deleted, missing."""
+    """Number of references per table, kind, UTC day of receipt and state at their own time (met, late, deleted, missing), and of the keys that have such."""
+    within = ["src_table", "day"]
     parts = [
-        merge_keys(refs.select(*keys, "at"), parents, keys).select(F.lit(ref).alias("ref"), state(F.col("last_at")).alias("state"), "refs")
+        states(refs.withColumn("day", day_of(F.col("at"))), parents, keys, within).select(*within, F.lit(ref).alias("ref"), "state", "refs")
         for ref, refs, parents, keys in telemetry_references(floats, ints, catalog)
     ]
-    return parts[0].unionByName(parts[1]).groupBy("ref", "state").agg(F.count(F.lit(1)).alias("keys"), F.sum("refs").alias("references"))
+    return parts[0].unionByName(parts[1]).groupBy("src_table", "ref", "state", "day").agg(F.count(F.lit(1)).alias("keys"), F.sum("refs").alias("references"))

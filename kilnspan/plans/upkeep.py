@@ -28,7 +28,7 @@ def p3_by_day(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_states(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys referred to, by what they lead to at their last reference."""
+    """References by what they lead to at their own time, per table and UTC day of receipt."""
     return orphans.reference_states(*(_read(spark, folder, t) for t in ("raw_scalar_float", "raw_scalar_int", "act_catalog")))
 
 

@@ -1,5 +1,6 @@
 """Orphan references, lambda views and seen-bitmaps: edge cases and batch by batch."""
 
+import datetime
 import random
 
 import numpy as np
@@ -49,6 +50,59 @@ def test_orphans_beyond_the_broadcast_bound(spark, monkeypatch):
     assert found(spark, floats, ints, catalog) == small and len(small) == sum(i % 7 in (4, 5, 6) for i in range(200))
 
 
+DAY = 86_400_000_000_000
+
+
+def states_of(spark, floats, ints, catalog):
+    got = orphans.reference_states(spark.createDataFrame(floats, RAW), spark.createDataFrame(ints, RAW), spark.createDataFrame(catalog, CATALOG)).collect()
+    assert len({(r.src_table, r.ref, r.state, r.day) for r in got}) == len(got)
+    return {(r.src_table[11:], r.ref, r.state, r.day and (r.day - datetime.date(1970, 1, 1)).days): (r["keys"], r.references) for r in got}
+
+
+def test_states_at_each_reference_s_own_time(spark):
+    catalog = [("loss", 1, None, "k"), ("gone", 5, 90, "k"), ("iteration_attempt_status", 1, None, "k")]
+    ints = [status(1, gid=1, at=50)]
+    floats = [raw(1, at=10), raw(2, at=20), raw(3, at=60), raw(4, at=DAY), raw(5, at=None), raw(6, gid=0, act="gone", at=4), raw(7, gid=0, act="gone", at=89), raw(8, gid=0, act="gone", at=90)]
+    assert states_of(spark, floats, ints, catalog) == {
+        ("float", "attempt", "late", 0): (1, 2), ("float", "attempt", "met", 0): (1, 1), ("float", "attempt", "met", 1): (1, 1), ("float", "attempt", "met", None): (1, 1),
+        ("float", "act_name", "met", 0): (2, 4), ("float", "act_name", "met", 1): (1, 1), ("float", "act_name", "met", None): (1, 1),
+        ("float", "act_name", "late", 0): (1, 1), ("float", "act_name", "deleted", 0): (1, 1), ("int", "act_name", "met", 0): (1, 1),
+    }
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_states_by_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(orphans, "small_side", lambda df: df)
+    rng = random.Random(8)
+    at = lambda: rng.choice([None, *[rng.randrange(3 * DAY) for _ in range(9)]])
+    catalog = [("loss", DAY, None, ""), ("gone", DAY // 2, 2 * DAY + 7, ""), ("never", 2 * DAY, DAY, "")]
+    acts = ["loss", "gone", "never", " GONE", "other", None]
+    floats = [raw(i, act=rng.choice(acts), gid=rng.choice([0, 1, 1, 1, 1, 2, 3, 4]), at=at()) for i in range(400)]
+    ints = [raw(i, act=rng.choice(acts), gid=rng.choice([1, 2, 4]), at=at()) for i in range(200)]
+    ints += [status(900, gid=1, at=DAY + 5), status(901, gid=2, at=9, deleted=9), status(902, gid=3, at=2 * DAY), status(903, gid=3, at=DAY * 3 // 2)]
+    # key -> (valid from, valid until)
+    attempts, names = {1: (DAY + 5, None), 3: (DAY * 3 // 2, None), 2: (None, -1)}, {a: (f, u) for a, f, u, _ in catalog}
+
+    def judge(parent, t):
+        if parent is None:
+            return "missing"
+        if parent[1] is not None and (parent[1] == -1 or t is not None and t >= parent[1]):
+            return "deleted"
+        return "late" if t is not None and parent[0] > t else "met"
+
+    want = {}
+    for table, rows in (("float", floats), ("int", ints)):
+        for r in rows:
+            name, gid, t = r[2] and r[2].strip().lower(), r[5], r[17]
+            links = [("act_name", name, names.get(name))]
+            if gid != 0 and name != "iteration_attempt_status":
+                links.append(("attempt", gid, attempts.get(gid)))
+            for ref, key, parent in links:
+                want.setdefault((table, ref, judge(parent, t), None if t is None else t // DAY), []).append(key)
+    assert states_of(spark, floats, ints, catalog) == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
 def test_admit(spark):
     t = 1_741_042_559_965_815_126
     hour_end = t - t % H + H
