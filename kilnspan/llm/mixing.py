@@ -8,8 +8,8 @@ prefix-summed table of all its changes, with which the offsets are merged).  Row
 range-sorted by that position.  A source whose demand exceeds its tokens is passed over
 again, at most ``max_repeats`` times in all.
 
-The same integral judges windows already drawn: over a window's positions the schedule is
-constant, so a source's demand is its share of the positions.
+Windows already drawn are judged by counts alone: over a window's positions the schedule is
+constant, so a source's count of positions is held against its normalised weight.
 
 Defined results: weights are usable when there are exactly as many as sources, all finite,
 none null or negative; with no usable weights all sources weigh the same.  Rows of null,
