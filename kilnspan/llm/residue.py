@@ -251,16 +251,28 @@ def _body(text: str) -> str:
     return text
 
 
+def _latin_body(text: str) -> bool:
+    """Whether a whole text is pseudo-Latin; lines like headings, menus and footers don't count."""
+    words: list[str] = []
+    for unit in _units(text):
+        of = _WORD.findall(unit)
+        if not _CHROME_RE.search(unit) and (len(of) > 8 or re.search(r"[.!?;,]$", unit)):
+            words += of
+    return _latin(words)
+
+
 def no_body(text: str) -> bool:
     """Whether a normalised text holds filler, an error message or a script notice and nothing else."""
-    latin = _latin(_WORD.findall(text[:400]))
+    text, latin = _body(text), None
     residue = 0
-    for n, unit in enumerate(_units(_body(text))):
+    for n, unit in enumerate(_units(text)):
         plain = _TYPING.sub(" ", unit)
         residue += plain != unit
         plain = " ".join(_NOISE_WORD.sub(" ", plain.strip("#=*-•> ")).split())
         words = _WORD.findall(plain)
         size = len(words) + len(_CJK.findall(plain)) // 2
+        if latin is None and _latin(words, 0.3) and not _latin(words):
+            latin = _latin_body(text)  # only now does it matter
         if size and (
             _RESIDUE_RE.search(plain.rstrip(" =.!?。！？…\"'"))
             or _latin(words, 0.3 if latin else 0.45)

@@ -92,3 +92,12 @@ def test_frames(spark):
     kept = residue.without_residue(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+def test_filler_under_a_long_menu():
+    filler = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Mauris lacinia est in congue felis. Duis aute irure dolor in voluptate velit esse."
+    menu = " | ".join(["Home", "Runs", "Docs", "Search", "Help"] * 15)
+    assert len(menu) > 400
+    assert residue.is_residue(filler) and residue.is_residue(f"{menu}\n\n{filler}") and residue.is_residue(f"{filler}\n\n{menu}")
+    content = "We est in the end kept felis. The attempt was rejected and its second try was accepted later. " * 6
+    assert not residue.is_residue(f"{filler}\n{content}") and not residue.is_residue(content)
