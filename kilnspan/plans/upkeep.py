@@ -43,8 +43,8 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lambda_views.recount(_read(spark, folder, "loss_slope_iteration_metrics"))
 
 
-def p4_served(spark: SparkSession, folder: str) -> DataFrame:
-    """The same counts after the rows came in three batches by receipt, with a recompute after the second and the last."""
+def _three_batches(spark: SparkSession, folder: str) -> lambda_views.LambdaView:
+    """Both layers after the rows came in three batches by receipt, with a recompute after the second."""
     rows = _read(spark, folder, "loss_slope_iteration_metrics")
     a, b = rows.agg(F.percentile_approx("received_at_unix_ns", [0.4, 0.8])).first()[0] or (0, 0)
     view = lambda_views.LambdaView(spark)
@@ -53,6 +53,17 @@ def p4_served(spark: SparkSession, folder: str) -> DataFrame:
     view.take(rows.where((got > a) & (got <= b)), 1)
     view.recompute(b)
     view.take(rows.where(got > b), 2)
+    return view
+
+
+def p4_provisional(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts served between the last batch and its recompute: the batch layer of two batches and the third's increments."""
+    return _three_batches(spark, folder).serve()
+
+
+def p4_served(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts after the rows came in three batches by receipt, with a recompute after the second and the last."""
+    view = _three_batches(spark, folder)
     view.recompute((1 << 62))
     return view.serve()
 
@@ -62,7 +73,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return seen.repeats(seen.message_rows(_read(spark, folder, "raw_scalar_float")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_day, p3_states, p4_found, p4_counts, p4_served, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_day, p3_states, p4_found, p4_counts, p4_provisional, p4_served, p5_found)}
 
 _P3 = f"""
 with allrows as (

@@ -1,13 +1,19 @@
 """Orphan references, lambda views and seen-bitmaps: edge cases and batch by batch."""
 
 import datetime
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kilnspan.operators import lambda_views, orphans, seen
+from kilnspan.plans import upkeep
+from tests.helpers import from_sql
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 H = lambda_views.HOUR_NS
 RAW = "row_id bigint, model_id string, act_name string, direction string, phase string, global_batch_id bigint, dp_rank int, microbatch_id int, sample_index int, layer_no int, shard_rank int, token_start bigint, token_end bigint, attempt_id int, invocation_id int, dataset_id int, value bigint, received_unix_ns bigint, deleted_unix_ns bigint, valid_until string"
@@ -231,3 +237,19 @@ def test_layout_and_containers(spark):
     for bits in (np.array([0, 65535]), np.arange(0, 65536, 3), np.arange(5000)):
         assert (seen.unpack_bits(seen.pack_bits(bits)) == bits).all()
     assert len(seen.pack_bits(np.arange(60000))) == 8193
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_provisional_counts_are_batch_layer_and_increments(spark, tmp_path):
+    rows = spark.read.parquet(f"{FOLDER}/loss_slope_iteration_metrics.parquet")
+    b = rows.agg(F.percentile_approx("received_at_unix_ns", [0.4, 0.8])).first()[0][1]
+    got = F.coalesce("received_at_unix_ns", F.lit(0))
+    want = Counter()
+    for part, some in (("old", rows.where(got <= b)), ("new", rows.where(got > b))):
+        some.coalesce(1).write.parquet(str(tmp_path / part / "loss_slope_iteration_metrics.parquet"))
+        names, counted = from_sql(str(tmp_path / part), upkeep.SQL["p4_counts"])
+        for row in map(dict, (zip(names, r, strict=True) for r in counted)):
+            for s in lambda_views.STATUSES:
+                want[row["run_id"], row["period_start_ns"], s] += row[s]
+    served = upkeep.QUERIES["p4_provisional"](spark, FOLDER).collect()
+    assert {(r.run_id, r.period_start_ns, s): r[s] for r in served for s in lambda_views.STATUSES if r[s]} == {k: n for k, n in want.items() if n}
