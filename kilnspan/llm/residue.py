@@ -32,6 +32,8 @@ from . import wording as W
 
 #: Share of a sentence's words that must be of the wording of such texts.
 DENSE = 0.7
+#: ... of one that goes along with them (advice, politeness), without saying what is wrong.
+DENSE_ALONG = 0.75
 #: Slots a sentence of prose must hold on average, when others of the text are only examples.
 SLOT_DENSITY = 0.1
 
@@ -41,14 +43,16 @@ _INVISIBLE = re.compile("[" + "".join(map(chr, (*range(9), *range(14, 32), 127,
 _ENTITY = re.compile(r"&(?:lt|gt|amp|quot|apos|nbsp|laquo|raquo|lbrace|rbrace|#\d{2,5}|#x[0-9a-f]{2,4});", re.I)
 _SPACES = re.compile("[^\\S\n]+")
 _SPECIAL_TOKEN = re.compile(r"<\|\w+\|>")
-_PLAIN = str.maketrans({"\u2018": "'", "\u2019": "'", "\u02bc": "'", "\u2010": "-", "\u2011": "-", "\u2028": "\n", "\u2029": "\n", "\r": "\n"})
+_PLAIN = (("\u2018", "'"), ("\u2019", "'"), ("\u02bc", "'"), ("\u2010", "-"), ("\u2011", "-"), ("\u2028", "\n"), ("\u2029", "\n"), ("\r\n", "\n"), ("\r", "\n"))
 
 
 def normalise(text: str) -> str:
     """White space of any kind as one space or a line feed, one kind of apostrophe and hyphen, entities resolved; invisible characters gone."""
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
-    text = _INVISIBLE.sub("", text.replace("\r\n", "\n")).translate(_PLAIN)
+    for odd, plain in _PLAIN:
+        text = text.replace(odd, plain)
+    text = _INVISIBLE.sub("", text)
     return _SPACES.sub(" ", _SPECIAL_TOKEN.sub(" ", text))
 
 
@@ -122,7 +126,7 @@ _CODE_LINE = re.compile(
       | .*[;{]\s*                                 # a statement
       | (?:def|class|return|import|from|for|if|while|func|fn|public|private)\s[^.!?\n]*[:)]\s*
     )$""",
-    re.M | re.X,
+    re.X,
 )
 #: A line of a configuration: one word of small letters, then a value.
 _SETTING = re.compile(r"^\s*(?:- )?(?:[a-z][\w.-]*|[A-Z][A-Z0-9]*_[A-Z0-9_]*)\s*[:=].*$|^\s*[\[\]{}(),]*\s*$|^\s*\[[\w .-]+\]\s*$|^\s*#.*$")
@@ -152,6 +156,18 @@ def _spans(pattern: re.Pattern[str], text: str) -> list[tuple[int, int]]:
     return [m.span() for m in pattern.finditer(text)]
 
 
+def _without(text: str, start: int, end: int, hits: list[re.Match[str]]) -> str:
+    """A stretch of the text with a space for each hit."""
+    edges = [start, *(x for hit in hits for x in hit.span()), end]
+    return " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def _code_line(text: str, at: int) -> bool:
+    """Whether a place stands in a line of code or configuration."""
+    end = text.find("\n", at)
+    return bool(_CODE_LINE.match(text[text.rfind("\n", 0, at) + 1 : len(text) if end < 0 else end]))
+
+
 def _inside(at: int, spans: list[tuple[int, int]]) -> bool:
     return any(a <= at < b for a, b in spans)
 
@@ -197,10 +213,10 @@ def open_slots(text: str) -> list[str]:
     hits = list(slot_hits(text))
     if not hits:
         return []
-    code = sorted(_spans(_CODE, text) + _spans(_CODE_LINE, text))
+    code = _spans(_CODE, text)
     config = _config(text)
     bounds = [0, *(m.start() for m in _SENTENCE_END.finditer(text)), len(text)]
-    upper = not any(c.islower() for c in _SLOTS.sub("", text))
+    upper = not any(c.islower() for c in _without(text, 0, len(text), hits))
     opened: list[tuple[str, str]] = []
     explained = cues = n = 0
     by_sentence: dict[int, list[re.Match[str]]] = {}
@@ -213,7 +229,7 @@ def open_slots(text: str) -> list[str]:
         start, end = bounds[n], bounds[n + 1]
         # a grammar may reach over what looks like a sentence's end
         sentence = text[start : max(end, found[-1].end())]
-        bare = _SLOTS.sub(" ", sentence)
+        bare = _without(text, start, start + len(sentence), found)
         cue = sum(weight * len({w if isinstance(w, str) else w[0] for w in pattern.findall(bare.lower())}) for weight, pattern in _CUES.items())
         cues += cue > 1
         quoted = _spans(_QUOTED, sentence)
@@ -224,7 +240,7 @@ def open_slots(text: str) -> list[str]:
             mentioned = around is not None and sentence[around[0] + 1 : around[1] - 1].strip() != slot
             if style == "angles" and (name.lower() in W.ELEMENTS or f"</{name}" in text):
                 continue  # mark-up
-            if _inside(hit.start(), code) or config or mentioned or cue > 1 or (around and cue):
+            if _inside(hit.start(), code) or _code_line(text, hit.start()) or config or mentioned or cue > 1 or (around and cue):
                 explained += 1
             elif style == "to_come" and _MENTION.search(bare) or _LINKING.search(bare) or style in ("braces", "dollars") and _MATHS.search(bare):
                 explained += 1
@@ -299,6 +315,7 @@ _SCRIPTS = frozenset(W.SCRIPT_WORDS.split())
 _ERROR_WORDS = {k: _FUNCTION[k] | _THINGS[k] | _FAULTS[k] | _MANNERS[k] for k in _LANGUAGES}
 _FILLER_WORDS = {k: _FUNCTION[k] | _FILLER_THINGS[k] | _FILLER_MARKS[k] for k in _LANGUAGES}
 _NOTICE_WORDS = {k: _ERROR_WORDS[k] | _NOTICE_MARKS[k] | _NOTICE_MANNERS[k] | _SCRIPTS for k in _LANGUAGES}
+_GOES_ALONG = {k: _MANNERS[k] | _THINGS[k] | _SCRIPTS for k in _LANGUAGES}
 _longest_first = lambda *terms: re.compile("|".join(sorted({re.escape(x) for t in terms for x in t}, key=len, reverse=True)), re.I)
 _CJK_ERROR_TERMS = _longest_first(W.CJK_THINGS, W.CJK_FAULTS, W.CJK_MANNERS)
 _CJK_FILLER_TERMS = _longest_first(W.CJK_FILLER_THINGS, W.CJK_FILLER_MARKS, W.CJK_MANNERS, "これ です 这 是 で".split())
@@ -309,7 +326,7 @@ CONTENT, RESIDUE, NEUTRAL = "content", "residue", "neutral"
 
 
 def _share(words: list[str], of: frozenset[str]) -> float:
-    return sum(w in of for w in words) / len(words)
+    return sum(map(of.__contains__, words)) / len(words)
 
 
 def _pieces(word: str) -> list[str]:
@@ -334,16 +351,15 @@ def _wording(unit: str) -> str:
         return CONTENT
     if _RETRY.search(plain) and any(_share(words, _ERROR_WORDS[k]) >= DENSE for k in _LANGUAGES):
         return RESIDUE
-    neutral = False
+    neutral, here = False, set(words)
     for k in _LANGUAGES:
-        here = set(words)
         if (len(here & _FAULTS[k]) > 1 or here & _FAULTS[k] and (here & _THINGS[k] or plain != unit)) and _share(words, _ERROR_WORDS[k]) >= DENSE:
             return RESIDUE
         if here & _FILLER_THINGS[k] and here & _FILLER_MARKS[k] and _share(words, _FILLER_WORDS[k]) >= DENSE:
             return RESIDUE
         if here & _SCRIPTS and here & _NOTICE_MARKS[k] and _share(words, _NOTICE_WORDS[k]) >= DENSE:
             return RESIDUE
-        neutral = neutral or _share(words, _NOTICE_WORDS[k]) >= max(DENSE, 0.75) and bool(here & (_MANNERS[k] | _THINGS[k] | _SCRIPTS))
+        neutral = neutral or bool(here & _GOES_ALONG[k]) and _share(words, _NOTICE_WORDS[k]) >= DENSE_ALONG
     return NEUTRAL if neutral else CONTENT
 
 
@@ -360,22 +376,37 @@ def _cjk_wording(unit: str) -> str:
     return NEUTRAL if left(_CJK_NOTICE_TERMS) <= 1 - DENSE else CONTENT
 
 
+_KEY_RUNS = frozenset(row[::way][a:b] for row in W.KEY_ROWS for way in (1, -1) for a in range(len(row)) for b in range(a + 3, len(row) + 1))
+
+
 def _key_run(word: str) -> bool:
     """Whether a word is neighbouring keys of a keyboard, either way, or one key again and again."""
-    return len(word) > 2 and (len(set(word)) == 1 or any(word in row or word[::-1] in row for row in W.KEY_ROWS))
+    return word in _KEY_RUNS or len(word) > 2 and word == word[0] * len(word)
+
+
+def _mostly_key_runs(words: list[str]) -> bool:
+    """Whether at least 0.6 of the words are runs of keys; stops as soon as too many are not."""
+    others = 0
+    for word in words:
+        others += not _key_run(word)
+        if others > 0.4 * len(words):
+            return False
+    return True
 
 
 def typed(text: str) -> bool:
     """Whether a piece of text is typing for its own sake: neighbouring keys, or a few words over and over."""
     words = [w for w in (x.strip(".,!?") for x in text.lower().split()) if w]
-    if len(words) >= 4 and sum(map(_key_run, words)) >= 0.6 * len(words) and any(len(set(w)) > 1 for w in words if _key_run(w)):
+    if len(words) >= 4 and _mostly_key_runs(words) and any(len(set(w)) > 1 for w in words if _key_run(w)):
         return True
-    if len(words) >= 6 and sum(any(c.isalpha() for c in w) for w in words) >= 0.5 * len(words):
+    if len(words) >= 6:
         common = [(w, n) for w, n in Counter(words).most_common(4) if n > 2]
-        if sum(n for _, n in common) >= 0.8 * len(words) and not re.search(r"\w_\w|\d[.,]\d", " ".join(w for w, _ in common)):
+        if sum(n for _, n in common) >= 0.8 * len(words) and sum(n for w, n in common if any(map(str.isalpha, w))) >= 0.4 * len(words) and not re.search(r"\w_\w|\d[.,]\d", " ".join(w for w, _ in common)):
             return True
+    if not _CJK.search(text):
+        return False
     whole = "".join(_NOISE_WORD.sub(" ", text).split())
-    return bool(_CJK.search(whole)) and sum(len(m.group()) for m in re.finditer(r"(.{1,6}?)\1{2,}", whole)) >= 0.8 * len(whole)
+    return bool(whole) and sum(len(m.group()) for m in re.finditer(r"(.{1,6}?)\1{2,}", whole)) >= 0.8 * len(whole)
 
 
 def pseudo_latin(words: list[str]) -> bool:

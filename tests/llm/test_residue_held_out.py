@@ -7,6 +7,8 @@ write them; each kind holds 300 texts or more (sentences times contexts).
 import itertools
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from kilnspan.llm import residue
 
@@ -98,3 +100,10 @@ def test_stray_example_of_a_tutorial():
     told = "Write `{{ ship }}` in the template; the renderer fills it in. " * 30
     assert not residue.is_residue(told + "\nThen the letter begins with {{ship}} as usual.")
     assert residue.is_residue("Dear {{ship}}, your berth is {{berth}}. " * 3 + told)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*"{}[]<>«»%$@_#()【】（）. :\nAb1", "...", "name", "TBD", "TODO", "XX", "N.N.", "T.B.D.", "insert ", " here", "填写", "……", "____", "{{", "}}", "Owner: "]), max_size=25).map("".join))
+def test_hints_lose_no_slot(text):
+    """Looking only where a hint stands finds what the grammars find anywhere."""
+    assert [m.span() for m in residue.slot_hits(text)] == [m.span() for m in residue._SLOTS.finditer(text)]
