@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import same_name
-from ..session import shared_folder
+from ..session import cut, exists, remove, shared_folder, small_side
 
 HOUR_NS = 3_600_000_000_000
 CUTOFF_NS = 6 * HOUR_NS
@@ -81,61 +81,138 @@ def recount(log: DataFrame) -> DataFrame:
 class LambdaView:
     """Both layers over batches that arrive one after another, in a folder.
 
-    ``take`` appends a batch to the log and its increments to the fast layer; ``recompute``
-    writes a new version of the batch layer and is in force from then on (batches up to
-    its number no longer count as provisional); ``serve`` gives the counts.
+    ``take`` logs a batch and adds its increments to the fast layer.  ``recompute`` writes
+    a new version of the batch layer; batches taken before it no longer count as
+    provisional.  ``serve`` gives the counts, ``outcomes`` what became of each row.
+
+    What is in force stands in ``published``, one small row per step, written last: a step
+    that fails before it leaves what was, and may be made again; a view that is opened on
+    its folder later goes on where the last one stopped.  One writer at a time.
+
+    A recompute reads the keys that may count in an open period (those with a row in one,
+    or in a batch taken since) and recounts these from the full log.  Periods whose cut-off
+    has passed are frozen; what later rows change in them is kept as an amendment.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/views-{uuid.uuid4().hex}"
-        self.taken, self.version = -1, -1
+
+    # ------------------------------------------------------------ what is in force
+
+    def _published(self) -> list:
+        """The steps so far, in order; few rows, one per batch or recompute."""
+        if not exists(self.spark, f"{self.folder}/published"):
+            return []
+        return self.spark.read.schema(_STEP).parquet(f"{self.folder}/published").orderBy("step").collect()
+
+    def _publish(self, step: int, kind: str, number: int | None, at: str, frozen_until: int | None) -> None:
+        row = self.spark.createDataFrame([(step, kind, number, at, frozen_until)], _STEP)
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/published")
+
+    @property
+    def taken(self) -> list[int]:
+        """The numbers of the batches taken, in the order they were."""
+        return [s["number"] for s in self._published() if s["kind"] == "batch"]
+
+    # ------------------------------------------------------------ layers
 
     def take(self, batch: DataFrame, number: int) -> None:
-        """Log a batch and add its accepted rows to the provisional periods; a repeated number overwrites itself."""
-        batch.write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
-        logged = self.spark.read.parquet(f"{self.folder}/log/batch={number}")
-        recount(logged).write.mode("overwrite").parquet(f"{self.folder}/fast/batch={number}")
-        self.taken = max(self.taken, number)
+        """Log a batch and add its accepted rows to the provisional periods.
+
+        Numbers may come in any order; one already taken is not taken again.
+        """
+        steps = self._published()
+        if any(s["kind"] == "batch" and s["number"] == number for s in steps):
+            return
+        step, at = _next(steps), f"batch-{number}-{uuid.uuid4().hex[:8]}"
+        judged = admit(batch).select(*KEY, "received_at_unix_ns", "row_id", "period_start_ns", same_name("status").alias("status"), "verdict")
+        judged.write.mode("overwrite").parquet(f"{self.folder}/log/{at}")
+        fast = count_periods(last_rows(self._log([at]).where(_COUNTS)))
+        fast.write.mode("overwrite").parquet(f"{self.folder}/fast/{at}")
+        self._publish(step, "batch", number, at, None)
+
+    def _log(self, at: list[str]) -> DataFrame:
+        if not at:
+            return self.spark.createDataFrame([], _LOGGED)
+        return self.spark.read.schema(_LOGGED).parquet(*[f"{self.folder}/log/{a}" for a in at])
 
     def recompute(self, now_ns: int) -> None:
-        """Replace the open periods from the full log; freeze periods whose cut-off has passed."""
-        log = self.spark.read.parquet(f"{self.folder}/log").where(F.col("batch") <= self.taken)
-        exact = recount(log)
-        closed = F.col("period_start_ns") + (HOUR_NS + CUTOFF_NS) <= now_ns
-        frozen_before = self._frozen()
-        open_part = exact.where(~closed).withColumn("layer", F.lit("open"))
-        if frozen_before is None:
-            frozen, amended = exact.where(closed).withColumn("layer", F.lit("frozen")), None
+        """Replace the open periods by a recount from the full log; freeze periods whose cut-off has passed.
+
+        ``now_ns`` is the time of receipt up to which the log is complete; it never goes back.
+        """
+        steps = self._published()
+        versions = [s for s in steps if s["kind"] == "version"]
+        last = versions[-1] if versions else None
+        old = [s["at"] for s in steps if s["kind"] == "batch" and last and s["step"] < last["step"]]
+        new = [s["at"] for s in steps if s["kind"] == "batch" and not (last and s["step"] < last["step"])]
+        now_ns = max(now_ns, last["frozen_until"]) if last else now_ns
+        ends = F.col("period_start_ns") + (HOUR_NS + CUTOFF_NS)
+        closed = ends <= F.lit(now_ns)
+        at = f"version-{_next(steps)}-{uuid.uuid4().hex[:8]}"
+        log = self._log(old + new).where(_COUNTS)
+        if last is None:
+            exact = count_periods(last_rows(log))
+            whole = exact.withColumn("layer", F.when(closed, "frozen").otherwise("open"))
         else:
-            kept = frozen_before.withColumn("layer", F.lit("frozen"))
-            was = (F.col("period_start_ns") + (HOUR_NS + CUTOFF_NS)) <= F.lit(self._frozen_until)
-            frozen = kept.unionByName(exact.where(closed & ~was).withColumn("layer", F.lit("frozen")))
-            minus = frozen_before.select("run_id", "period_start_ns", *[(-F.col(s)).alias(s) for s in STATUSES])
-            both = exact.where(was).unionByName(minus).groupBy("run_id", "period_start_ns").agg(*[F.sum(s).alias(s) for s in STATUSES])
-            amended = both.where(" or ".join(f"{s} <> 0" for s in STATUSES)).withColumn("layer", F.lit("amended"))
-        whole = frozen.unionByName(open_part)
-        if amended is not None:
-            whole = whole.unionByName(amended)
-        whole.write.mode("overwrite").parquet(f"{self.folder}/batch/version={self.taken}")
-        self.version, self._frozen_until = self.taken, now_ns
-
-    _frozen_until = -(1 << 62)
-
-    def _frozen(self) -> DataFrame | None:
-        if self.version < 0:
-            return None
-        return self.spark.read.parquet(f"{self.folder}/batch/version={self.version}").where("layer = 'frozen'").drop("layer")
+            was = ends <= F.lit(last["frozen_until"])
+            before = self.spark.read.schema(_VERSION).parquet(f"{self.folder}/batch/{last['at']}")
+            touched = cut(self._log(new).where(_COUNTS).select(*KEY).distinct())
+            open_keys = log.where(~was).select(*KEY).unionByName(touched).distinct()
+            mine = of_keys(log, cut(open_keys))
+            exact = count_periods(last_rows(mine)).where(~was)
+            replaced = exact.withColumn("layer", F.when(closed, "frozen").otherwise("open"))
+            now_counts = count_periods(last_rows(of_keys(log, touched))).where(was)
+            then_counts = count_periods(last_rows(of_keys(self._log(old).where(_COUNTS), touched))).where(was)
+            minus = then_counts.select("run_id", "period_start_ns", *[(-F.col(s)).alias(s) for s in STATUSES])
+            amended = before.where("layer = 'amended'").drop("layer").unionByName(now_counts).unionByName(minus)
+            amended = _total(amended).withColumn("layer", F.lit("amended"))
+            whole = before.where("layer = 'frozen'").unionByName(replaced).unionByName(amended)
+        whole.write.mode("overwrite").parquet(f"{self.folder}/batch/{at}")
+        self._publish(_next(steps), "version", None, at, now_ns)
+        for stale in versions[:-1]:  # readers of the last version may still be at work
+            remove(self.spark, f"{self.folder}/batch/{stale['at']}")
 
     def serve(self) -> DataFrame:
         """run_id, period_start_ns, complete, incomplete: exact up to the last recompute, provisional after it."""
-        parts = []
-        if self.version >= 0:
-            parts.append(self.spark.read.parquet(f"{self.folder}/batch/version={self.version}").drop("layer"))
-        if self.taken > self.version:
-            parts.append(self.spark.read.parquet(f"{self.folder}/fast").where((F.col("batch") > self.version) & (F.col("batch") <= self.taken)).drop("batch"))
-        if not parts:
-            return self.spark.createDataFrame([], "run_id string, period_start_ns bigint, complete bigint, incomplete bigint")
-        whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        served = whole.groupBy("run_id", "period_start_ns").agg(*[F.sum(s).cast("bigint").alias(s) for s in STATUSES])
-        return served.where(" or ".join(f"{s} <> 0" for s in STATUSES))
+        steps = self._published()
+        version = next((s for s in reversed(steps) if s["kind"] == "version"), None)
+        fast = [s["at"] for s in steps if s["kind"] == "batch" and not (version and s["step"] < version["step"])]
+        whole = self.spark.createDataFrame([], _COUNTED)
+        if version:
+            whole = whole.unionByName(self.spark.read.schema(_VERSION).parquet(f"{self.folder}/batch/{version['at']}").drop("layer"))
+        if fast:
+            whole = whole.unionByName(self.spark.read.schema(_COUNTED).parquet(*[f"{self.folder}/fast/{a}" for a in fast]))
+        return _total(whole)
+
+    def outcomes(self) -> DataFrame:
+        """row_id, outcome of the rows that were ``dropped`` at intake or are ``correcting`` a period that had ended."""
+        log = self._log([s["at"] for s in self._published() if s["kind"] == "batch"])
+        return log.where(F.col("verdict").isin("dropped", "correcting")).select("row_id", F.col("verdict").alias("outcome"))
+
+
+_STEP = "step bigint, kind string, number bigint, at string, frozen_until bigint"
+_LOGGED = "run_id string, dataset_id int, training_iteration_id bigint, received_at_unix_ns bigint, row_id bigint, period_start_ns bigint, status string, verdict string"
+_COUNTED = "run_id string, period_start_ns bigint, complete bigint, incomplete bigint"
+_VERSION = _COUNTED + ", layer string"
+_COUNTS = "verdict in ('on_time', 'correcting')"
+
+
+def _next(steps: list) -> int:
+    return 1 + max((s["step"] for s in steps), default=-1)
+
+
+def _total(parts: DataFrame) -> DataFrame:
+    """Counts of the same run and period added up; those that come to nothing are left out."""
+    summed = parts.groupBy("run_id", "period_start_ns").agg(*[F.sum(s).cast("bigint").alias(s) for s in STATUSES])
+    return summed.where(" or ".join(f"{s} <> 0" for s in STATUSES))
+
+
+def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of some keys, nulls among them too; the keys are broadcast while they are few."""
+    side = small_side(keys.select(*[F.col(c).alias(f"__{c}") for c in KEY]))
+    same = F.lit(True)
+    for c in KEY:
+        same = same & rows[c].eqNullSafe(side[f"__{c}"])
+    return rows.join(side, same, "left_semi")

@@ -28,11 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from ..functions.names import same_name
-from ..session import cut, shared_folder, small_side
+from ..session import cut, exists, remove, rename, shared_folder, small_side
 
 WORD_BITS, LOW_BITS = 62, 16
 #: Rows of a stretch within which repeats are set aside, and rows for which a shard is made.
@@ -227,78 +226,139 @@ def message_rows(df: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequence[str] = MESSAGE_NUMBERS, order: str = "row_id") -> DataFrame:
     """(order): every row but the first of its message, for a table taken as the first batch of a new store."""
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    return SeenStore(rows.sparkSession, None, names, numbers, order, shards).take(rows, 0, repeats=True)
+    return SeenStore(rows.sparkSession, None, names, numbers, order).take(rows, 0, repeats=True)
 
 
 # ---------------------------------------------------------------- many batches
 
+_TAKEN = "step bigint, number bigint, at string, whole boolean, ids bigint, repeats boolean"
+#: Batches after which the state is written whole, and ids that count as one row when shards are made (they are stored as bits).
+COMPACT_AFTER, CONTAINED = 8, 16
+
+
+def latest(containers: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Of each container what was written last."""
+    return containers.groupBy(*words).agg(F.max_by("bits", "step").alias("bits"))
+
 
 class SeenStore:
-    """Seen-bitmaps that live in a folder and take batch after batch.
+    """Seen-bitmaps that live in a folder and take batch after batch, in any order of their numbers.
+
+    A batch writes its dictionary, layout, the containers that it changed and the orders
+    it kept, and is published by one small row at the end: a batch that fails before that
+    leaves the state as it was.  A batch that is offered again under its number changes
+    nothing and gives the rows it gave, so whatever writes them may be repeated too.
 
-    Every batch writes a new version (dictionary, layout, containers) and publishes it by
-    one small row; a batch that fails before that leaves the old version in force, and a
-    batch that is offered again under its number is not taken twice.
+    Only changed containers are written; the latest of each holds.  After COMPACT_AFTER
+    batches the state is written whole and what it replaces is removed (the folders that
+    the version before still reads stay until the next time).  The number of shards
+    follows the number of ids that are stored and arrive.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequence[str] = MESSAGE_NUMBERS, order: str = "row_id", shards: int = 8) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, names: Sequence[str] = MESSAGE_NAMES, numbers: Sequence[str] = MESSAGE_NUMBERS, order: str = "row_id", shards: int | None = None) -> None:
         self.spark, self.names, self.numbers, self.order, self.shards = spark, list(names), list(numbers), order, shards
         self.folder = folder or f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
 
-    def version(self) -> int:
-        """The number of the last batch taken, or -1."""
-        try:
-            row = self.spark.read.parquet(f"{self.folder}/published").agg(F.max("version")).first()
-        except AnalysisException:
-            return -1
-        return -1 if row[0] is None else row[0]
+    def _published(self) -> list:
+        """The batches taken, in the order they were; one small row each."""
+        if not exists(self.spark, f"{self.folder}/published"):
+            return []
+        return self.spark.read.schema(_TAKEN).parquet(f"{self.folder}/published").orderBy("step").collect()
 
-    def _load(self, version: int):
-        at = f"{self.folder}/v{version}"
+    @property
+    def taken(self) -> list[int]:
+        """The numbers of the batches taken."""
+        return [r["number"] for r in self._published()]
+
+    def _load(self, taken: list):
+        """Layout, dictionary and the written containers (with their step) of the state in force."""
+        at = f"{self.folder}/{taken[-1]['at']}"
         fields = self.spark.read.parquet(f"{at}/layout").orderBy("place").collect()
         layout = Layout(tuple((r["name"], r["low"], r["bits"]) for r in fields))
-        return layout, self.spark.read.parquet(f"{at}/names"), self.spark.read.parquet(f"{at}/bits")
+        since = max((n for n, r in enumerate(taken) if r["whole"]), default=0)
+        bits = self.spark.read.parquet(*[f"{self.folder}/{r['at']}/bits" for r in taken[since:]])
+        return layout, self.spark.read.parquet(f"{at}/names"), bits
 
     def take(self, rows: DataFrame, number: int, repeats: bool = False) -> DataFrame:
-        """Add a batch; the orders of the rows that stay (first deliveries), or of the repeats.  A number already taken gives no rows."""
-        last = self.version()
-        if number <= last:
-            return rows.select(self.order).where("false")
-        old_layout, old_names, stored = self._load(last) if last >= 0 else (None, None, None)
+        """Add a batch; the orders of the rows that stay (first deliveries), or of the repeats."""
+        taken = self._published()
+        told = next((r for r in taken if r["number"] == number), None)
+        if told is None:
+            told = self._add(rows, number, taken, repeats)
+        elif told["repeats"] != repeats:
+            raise ValueError(f"batch {number} was taken for its {'repeats' if told['repeats'] else 'first deliveries'}")
+        orders = self.spark.read.schema("ord bigint").parquet(f"{self.folder}/{told['at']}/orders")
+        return orders.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(self.order))
+
+    def _add(self, rows: DataFrame, number: int, taken: list, repeats: bool) -> dict:
+        step, known = len(taken), taken[-1]["ids"] if taken else 0
+        at = f"{self.folder}/batch-{step}-{uuid.uuid4().hex[:8]}"
+        old_layout, old_names, stored = self._load(taken) if taken else (None, None, None)
         layout = Layout.of(rows, self.numbers, old_layout)
         dictionary = grow_dictionary(rows, self.names, old_names)
         ids = encode(rows, self.names, dictionary, layout, self.order)
         words = [c for c in ids.columns if c != "ord"]
-        spread = thin_out(ids, words, self.shards)
-        if stored is not None and old_layout != layout:
-            stored = self._recode(stored, old_layout, layout)
+        shards = self.shards or max(1, -(-(rows.count() + known // CONTAINED) // SHARD_ROWS))
+        spread = thin_out(ids, words, shards)
+        whole = stored is None or old_layout != layout
+        if stored is None:
+            stored = self.spark.createDataFrame([], ", ".join(f"{w} bigint" for w in words) + ", bits binary, step bigint")
+        elif whole:
+            stored = self._recode(latest(stored, words), old_layout, layout).withColumn("step", F.lit(step - 1).cast("bigint"))
+        home = F.pmod(F.xxhash64(*words), F.lit(shards)).cast("int")
+        placed = stored.select(home.alias("shard"), *words, "bits", "step")
         columns = ", ".join(f"{w} bigint" for w in words)
-        out = f"shard int, ord bigint, {columns}, bits binary"
+        out = f"ord bigint, {columns}, bits binary, fresh bigint"
 
         def join(key: tuple, arrivals: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+            kept = kept.sort_values("step").drop_duplicates(words, keep="last")
             again, new = select_arrivals(arrivals, words, kept)
+            had = {tuple(r[:-1]): len(unpack_bits(r[-1])) for r in kept[[*words, "bits"]].itertuples(index=False, name=None)}
+            fresh = [len(unpack_bits(c[-1])) - had.get(c[:-1], 0) for c in new]
+            if whole:
+                changed = {c[:-1] for c in new}
+                new = new + [r for r in kept[[*words, "bits"]].itertuples(index=False, name=None) if tuple(r[:-1]) not in changed]
             told = arrivals["ord"].to_numpy()[again if repeats else ~again].tolist()
-            changed = {c[:-1] for c in new}
-            containers = new + [r for r in kept[[*words, "bits"]].itertuples(index=False, name=None) if tuple(r[:-1]) not in changed]
             none = [None] * len(told)
-            columns = {"shard": [key[0]] * (len(told) + len(containers)), "ord": pd.array(told + [None] * len(containers), dtype="Int64")}
+            frame = {"ord": pd.array(told + [None] * len(new), dtype="Int64")}
             for n, w in enumerate(words):
-                columns[w] = pd.array(none + [c[n] for c in containers], dtype="Int64")
-            return pd.DataFrame(columns | {"bits": none + [c[-1] for c in containers]})
+                frame[w] = pd.array(none + [c[n] for c in new], dtype="Int64")
+            return pd.DataFrame(frame | {"bits": none + [c[-1] for c in new], "fresh": pd.array(none + fresh + [0] * (len(new) - len(fresh)), dtype="Int64")})
 
-        if stored is None:
-            stored = self.spark.createDataFrame([], f"shard int, {columns}, bits binary")
         # As many tasks as shards, whatever the session's number of partitions.
-        apart = lambda df: df.repartition(self.shards, "shard").groupBy("shard")
-        both = cut(apart(spread).cogroup(apart(stored)).applyInPandas(join, out))
-        at = f"{self.folder}/v{number}"
-        both.where("bits is not null").select("shard", *words, "bits").write.mode("overwrite").parquet(f"{at}/bits")
+        apart = lambda df: df.repartition(shards, "shard").groupBy("shard")
+        both = cut(apart(spread).cogroup(apart(placed)).applyInPandas(join, out))
+        containers = both.where("bits is not null").select(*words, "bits", F.lit(step).cast("bigint").alias("step"))
+        containers.write.mode("overwrite").parquet(f"{at}/bits")
+        both.where("bits is null").select("ord").write.mode("overwrite").parquet(f"{at}/orders")
         dictionary.write.mode("overwrite").parquet(f"{at}/names")
         fields = [(n, name, low, bits) for n, (name, low, bits) in enumerate(layout.fields)]
         self.spark.createDataFrame(fields, "place int, name string, low bigint, bits int").coalesce(1).write.mode("overwrite").parquet(f"{at}/layout")
-        self.spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/published")
-        return both.where("bits is null").select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(self.order))
+        ids_now = known + (both.agg(F.sum("fresh")).first()[0] or 0)
+        row = {"step": step, "number": number, "at": at.rsplit("/", 1)[1], "whole": whole, "ids": ids_now, "repeats": repeats}
+        if not whole and step - max(n for n, r in enumerate(taken) if r["whole"]) >= COMPACT_AFTER:
+            row |= self._compact(taken, row, words)
+        self.spark.createDataFrame([tuple(row.values())], _TAKEN).coalesce(1).write.mode("append").parquet(f"{self.folder}/published")
+        self._clear([*taken, row])
+        return row
+
+    def _compact(self, taken: list, row: dict, words: list[str]) -> dict:
+        """Write the state of a batch whole, beside what it changed."""
+        since = max(n for n, r in enumerate(taken) if r["whole"])
+        parts = self.spark.read.parquet(*[f"{self.folder}/{r['at']}/bits" for r in [*taken[since:], row]])
+        packed = latest(parts, words).withColumn("step", F.lit(row["step"]).cast("bigint"))
+        packed.write.mode("overwrite").parquet(f"{self.folder}/{row['at']}/packed")
+        remove(self.spark, f"{self.folder}/{row['at']}/bits")
+        rename(self.spark, f"{self.folder}/{row['at']}/packed", f"{self.folder}/{row['at']}/bits")
+        return {"whole": True}
+
+    def _clear(self, taken: list) -> None:
+        """Remove states from before the last but one that was written whole; what batches kept stays."""
+        whole = [n for n, r in enumerate(taken) if r["whole"]]
+        if len(whole) > 1 and taken[-1]["whole"]:
+            for r in taken[: whole[-2]]:
+                for part in ("bits", "names", "layout"):
+                    remove(self.spark, f"{self.folder}/{r['at']}/{part}")
 
     def _recode(self, stored: DataFrame, old: Layout, new: Layout) -> DataFrame:
         """Stored bits under a wider layout; exact, as ids can be taken apart again."""
@@ -306,13 +366,12 @@ class SeenStore:
         moved = ids.select("w0", *old.unpack()).select("w0", *new.pack())
         words = moved.columns
         low = F.col(words[-1]).bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))
-        shard = F.pmod(F.xxhash64(*words[:-1], F.shiftright(words[-1], LOW_BITS)), F.lit(self.shards)).cast("int")
-        moved = moved.select(shard.alias("shard"), *words[:-1], F.shiftright(words[-1], LOW_BITS).alias(words[-1]), low.alias("bit"))
+        moved = moved.select(*words[:-1], F.shiftright(words[-1], LOW_BITS).alias(words[-1]), low.alias("bit"))
 
         def gather(key: tuple, bits: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(*key, pack_bits(np.unique(bits["bit"].to_numpy())))], columns=["shard", *words, "bits"])
+            return pd.DataFrame([(*key, pack_bits(np.unique(bits["bit"].to_numpy())))], columns=[*words, "bits"])
 
-        return moved.groupBy("shard", *words).applyInPandas(gather, "shard int, " + ", ".join(f"{w} bigint" for w in words) + ", bits binary")
+        return moved.groupBy(*words).applyInPandas(gather, ", ".join(f"{w} bigint" for w in words) + ", bits binary")
 
     @staticmethod
     def _ids(stored: DataFrame, layout: Layout) -> DataFrame:

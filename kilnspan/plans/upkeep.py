@@ -33,9 +33,12 @@ def p3_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows dropped as too late, and rows that correct a period that had ended."""
-    rows = lambda_views.admit(_read(spark, folder, "loss_slope_iteration_metrics"))
-    return rows.where(F.col("verdict").isin("dropped", "correcting")).select("row_id", F.col("verdict").alias("outcome"))
+    """Rows that the view dropped at intake, and rows with which it corrected a period that had ended: both layers take the whole table."""
+    rows = _read(spark, folder, "loss_slope_iteration_metrics")
+    view = lambda_views.LambdaView(spark)
+    view.take(rows, 0)
+    view.recompute(rows.agg(F.max("received_at_unix_ns")).first()[0] or 0)
+    return view.outcomes()
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +49,9 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 def _three_batches(spark: SparkSession, folder: str) -> lambda_views.LambdaView:
     """Both layers after the rows came in three batches by receipt, with a recompute after the second."""
     rows = _read(spark, folder, "loss_slope_iteration_metrics")
-    a, b = rows.agg(F.percentile_approx("received_at_unix_ns", [0.4, 0.8])).first()[0] or (0, 0)
+    first, last = rows.where("received_at_unix_ns > 0").agg(F.min("received_at_unix_ns"), F.max("received_at_unix_ns")).first()
+    first, last = first or 0, last or 0
+    a, b = first + (last - first) // 5 * 2, first + (last - first) // 5 * 4
     view = lambda_views.LambdaView(spark)
     got = F.coalesce("received_at_unix_ns", F.lit(0))
     view.take(rows.where(got <= a), 0)
@@ -68,12 +73,23 @@ def p4_served(spark: SparkSession, folder: str) -> DataFrame:
     return view.serve()
 
 
+def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The first delivery of every message, of three batches that a store of seen-bitmaps takes one after another, by thirds of the delivery batches."""
+    rows = _read(spark, folder, "raw_scalar_float")
+    first, last = rows.agg(F.min("batch_no"), F.max("batch_no")).first()
+    first, last = first or 0, last or 0
+    third = F.least(F.lit(2), F.floor((F.coalesce("batch_no", F.lit(first)) - first) * 3 / F.lit(last - first + 1))).cast("int")
+    store = seen.SeenStore(spark)
+    kept = [store.take(seen.message_rows(rows.where(third == n)), n) for n in range(3)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every row but the first of its message."""
     return seen.repeats(seen.message_rows(_read(spark, folder, "raw_scalar_float")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_day, p3_states, p4_found, p4_counts, p4_provisional, p4_served, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_day, p3_states, p4_found, p4_counts, p4_provisional, p4_served, p5_found, p5_batches)}
 
 _P3 = f"""
 with allrows as (
@@ -117,6 +133,23 @@ last as (
 select run_id, hr::bigint period_start_ns, count(*) filter (st = 'complete') complete, count(*) filter (st = 'incomplete') incomplete
 from (select *, {sql_name('status')} st from last where n = 1) where st in ('complete', 'incomplete') group by 1, 2"""
 
+P4_PROVISIONAL = _P4 + f""",
+bounds as (select min(received_at_unix_ns) f, max(received_at_unix_ns) l from loss_slope_iteration_metrics where received_at_unix_ns > 0),
+parted as (select j.*, coalesce(received_at_unix_ns, 0) > f + (l - f) // 5 * 4 late from judged j, bounds where verdict in ('on_time', 'correcting')),
+last as (
+  select *, row_number() over (partition by late, run_id, dataset_id, training_iteration_id order by received_at_unix_ns desc nulls last, row_id desc) n from parted)
+select run_id, hr::bigint period_start_ns, count(*) filter (st = 'complete') complete, count(*) filter (st = 'incomplete') incomplete
+from (select *, {sql_name('status')} st from last where n = 1) where st in ('complete', 'incomplete') group by 1, 2"""
+
+P5_BATCHES = f"""
+with bounds as (select min(batch_no) f, max(batch_no) l from raw_scalar_float),
+parted as (select r.*, least(2, floor((coalesce(batch_no, f) - f) * 3 / (l - f + 1))) part from raw_scalar_float r, bounds)
+select row_id from (
+  select row_id, row_number() over (
+    partition by {sql_name('model_id')}, {sql_name('act_name')}, direction, phase, global_batch_id, dp_rank, coalesce(microbatch_id, -1), sample_index,
+      layer_no, shard_rank, token_start, token_end, attempt_id, invocation_id order by part, row_id nulls last) n
+  from parted) where n = 1"""
+
 P5_FOUND = f"""
 select row_id from (
   select row_id, row_number() over (
@@ -124,4 +157,4 @@ select row_id from (
       layer_no, shard_rank, token_start, token_end, attempt_id, invocation_id order by row_id nulls last) n
   from raw_scalar_float) where n > 1"""
 
-SQL = {"p3_found": P3_FOUND, "p3_by_day": P3_BY_DAY, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS, "p4_served": P4_COUNTS, "p5_found": P5_FOUND}
+SQL = {"p3_found": P3_FOUND, "p3_by_day": P3_BY_DAY, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS, "p4_provisional": P4_PROVISIONAL, "p4_served": P4_COUNTS, "p5_found": P5_FOUND, "p5_batches": P5_BATCHES}

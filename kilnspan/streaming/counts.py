@@ -29,7 +29,7 @@ def into_views(view: LambdaView, recompute_every: int = 4):
 
 
 def into_seen(store: SeenStore, prepare, sink: str):
-    """foreachBatch function: first deliveries of each batch, written under the batch's number."""
+    """foreachBatch function: first deliveries of each batch, written under the batch's number; a batch that runs again writes the same rows."""
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()

@@ -1,19 +1,13 @@
 """Orphan references, lambda views and seen-bitmaps: edge cases and batch by batch."""
 
 import datetime
-import os
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kilnspan.operators import lambda_views, orphans, seen
-from kilnspan.plans import upkeep
-from tests.helpers import from_sql
-
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 H = lambda_views.HOUR_NS
 RAW = "row_id bigint, model_id string, act_name string, direction string, phase string, global_batch_id bigint, dp_rank int, microbatch_id int, sample_index int, layer_no int, shard_rank int, token_start bigint, token_end bigint, attempt_id int, invocation_id int, dataset_id int, value bigint, received_unix_ns bigint, deleted_unix_ns bigint, valid_until string"
@@ -224,9 +218,106 @@ def test_seen_store_over_batches(spark, tmp_path):
         part = [r[:5] + (None if r[5] is None else r[5] * (number + 1),) + r[6:] if number == 2 and r[0] % 5 == 0 else r for r in rows[number * 80 : number * 80 + 80]]
         rows[number * 80 : number * 80 + 80] = part
         kept += [r.row_id for r in store.take(seen.message_rows(spark.createDataFrame(part, RAW)), number).collect()]
-        assert store.take(seen.message_rows(spark.createDataFrame(part, RAW)), number).count() == 0  # offered again
+        told = sorted(r.row_id for r in store.take(seen.message_rows(spark.createDataFrame(part, RAW)), number).collect())
+        assert told == sorted(kept[-len(told) :])  # offered again: the same answer, nothing taken twice
     assert sorted(kept) == sorted({r[0] for r in rows} - set(brute_repeats(rows)))
-    assert seen.SeenStore(spark, str(tmp_path / "s"), shards=3).version() == 2
+    assert seen.SeenStore(spark, str(tmp_path / "s"), shards=3).taken == [0, 1, 2]
+
+
+def test_seen_store_out_of_order_growing_and_compacting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "COMPACT_AFTER", 2)
+    monkeypatch.setattr(seen, "SHARD_ROWS", 40)
+    store, met, whole = seen.SeenStore(spark, str(tmp_path / "s")), set(), []
+    for n, number in enumerate([5, 2, 9, 0, 7, 1]):
+        part = [raw(1000 * number + i, gid=i % 23 + (10 ** (3 * (n // 2)) if i % 3 else 0), microbatch=i % 2) for i in range(60)]
+        got = sorted(r.row_id for r in seen.SeenStore(spark, str(tmp_path / "s")).take(seen.message_rows(spark.createDataFrame(part, RAW)), number).collect())
+        want = []
+        for r in part:
+            if key(r) not in met:
+                met.add(key(r))
+                want.append(r[0])
+        assert got == sorted(want), number
+        whole.append(store._published()[-1]["whole"])
+    assert store.taken == [5, 2, 9, 0, 7, 1] and store._published()[-1]["ids"] == len(met) and not all(whole)
+    assert len([p for p in (tmp_path / "s").glob("batch-*/bits")]) < 6
+    with pytest.raises(ValueError, match="first deliveries"):
+        store.take(seen.message_rows(spark.createDataFrame([], RAW)), 5, repeats=True)
+
+
+def test_a_batch_that_fails_before_it_is_published_counts_for_nothing(spark, tmp_path, monkeypatch):
+    store = seen.SeenStore(spark, str(tmp_path / "s"))
+    rows = seen.message_rows(spark.createDataFrame([raw(1), raw(2, gid=2)], RAW))
+    monkeypatch.setattr(seen.SeenStore, "_clear", lambda *_: None)
+    monkeypatch.setattr(store, "spark", _Failing(spark))
+    with pytest.raises(RuntimeError, match="lost"):
+        store.take(rows, 0)
+    assert seen.SeenStore(spark, str(tmp_path / "s")).taken == []
+    store.spark = spark
+    assert sorted(r.row_id for r in store.take(rows, 0).collect()) == [1, 2]
+
+
+class _Failing:
+    """A session that is lost when the row that publishes is made."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+    def createDataFrame(self, rows, schema):  # noqa: N802
+        if schema == seen._TAKEN:
+            raise RuntimeError("lost")
+        return self.spark.createDataFrame(rows, schema)
+
+
+def test_stream_batches_run_again(spark, tmp_path):
+    from kilnspan.streaming.counts import into_seen
+
+    take = into_seen(seen.SeenStore(spark, str(tmp_path / "s")), seen.message_rows, str(tmp_path / "sink"))
+    batch = spark.createDataFrame([raw(1), raw(2), raw(3, gid=3)], RAW)
+    for number in (0, 0, 1, 0):
+        take(batch, number)
+        assert sorted(r.row_id for r in spark.read.parquet(str(tmp_path / "sink" / "batch=0")).collect()) == [1, 3]
+    assert spark.read.parquet(str(tmp_path / "sink" / "batch=1")).count() == 0
+
+
+def test_views_reopened_recomputed_twice_and_out_of_order(spark, tmp_path):
+    rows = sorted(events(200, 6), key=lambda r: r[6])
+    at = str(tmp_path / "v")
+    open_view = lambda: lambda_views.LambdaView(spark, at)
+    open_view().take(spark.createDataFrame(rows[60:120], LOG), 2)
+    open_view().take(spark.createDataFrame(rows[:60], LOG), 1)
+    for _ in range(3):  # a scheduled recompute in a quiet time
+        open_view().recompute(rows[119][6])
+        assert counts(open_view().serve()) == brute(rows[:120])
+    open_view().take(spark.createDataFrame(rows[150:], LOG), 3)
+    open_view().take(spark.createDataFrame(rows[120:150], LOG), 0)
+    assert open_view().taken == [2, 1, 3, 0]
+    open_view().recompute(1 << 62)
+    assert counts(open_view().serve()) == brute(rows)
+    open_view().recompute(0)  # time never goes back
+    assert counts(open_view().serve()) == brute(rows)
+    got = {r.row_id: r.outcome for r in open_view().outcomes().collect()}
+    want = {r.row_id: r.verdict for r in lambda_views.admit(spark.createDataFrame(rows, LOG)).collect() if r.verdict in ("dropped", "correcting")}
+    assert got == want
+
+
+def test_view_that_fails_before_it_publishes(spark, tmp_path, monkeypatch):
+    rows = events(50, 9)
+    view = lambda_views.LambdaView(spark, str(tmp_path / "v"))
+    view.take(spark.createDataFrame(rows[:30], LOG), 0)
+    view.recompute(0)
+    before = counts(view.serve())
+    with monkeypatch.context() as m:
+        m.setattr(lambda_views.LambdaView, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        for step in (lambda: view.take(spark.createDataFrame(rows[30:], LOG), 1), lambda: view.recompute(1 << 62)):
+            with pytest.raises(RuntimeError, match="lost"):
+                step()
+    assert counts(view.serve()) == before and view.taken == [0]
+    view.take(spark.createDataFrame(rows[30:], LOG), 1)
+    view.recompute(1 << 62)
+    assert counts(view.serve()) == brute(rows)
 
 
 def test_layout_and_containers(spark):
@@ -237,19 +328,3 @@ def test_layout_and_containers(spark):
     for bits in (np.array([0, 65535]), np.arange(0, 65536, 3), np.arange(5000)):
         assert (seen.unpack_bits(seen.pack_bits(bits)) == bits).all()
     assert len(seen.pack_bits(np.arange(60000))) == 8193
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-def test_provisional_counts_are_batch_layer_and_increments(spark, tmp_path):
-    rows = spark.read.parquet(f"{FOLDER}/loss_slope_iteration_metrics.parquet")
-    b = rows.agg(F.percentile_approx("received_at_unix_ns", [0.4, 0.8])).first()[0][1]
-    got = F.coalesce("received_at_unix_ns", F.lit(0))
-    want = Counter()
-    for part, some in (("old", rows.where(got <= b)), ("new", rows.where(got > b))):
-        some.coalesce(1).write.parquet(str(tmp_path / part / "loss_slope_iteration_metrics.parquet"))
-        names, counted = from_sql(str(tmp_path / part), upkeep.SQL["p4_counts"])
-        for row in map(dict, (zip(names, r, strict=True) for r in counted)):
-            for s in lambda_views.STATUSES:
-                want[row["run_id"], row["period_start_ns"], s] += row[s]
-    served = upkeep.QUERIES["p4_provisional"](spark, FOLDER).collect()
-    assert {(r.run_id, r.period_start_ns, s): r[s] for r in served for s in lambda_views.STATUSES if r[s]} == {k: n for k, n in want.items() if n}
