@@ -8,6 +8,10 @@ cannot hold the rank are discarded.  Rounds go on until a target is met by a piv
 range holds at most ``FINISH`` values, which are then sorted.  All groups and targets
 advance together, a round being two passes.  The rank error is 0.
 
+Values are read from the table once: groups get numbers, and rows with their group's
+numbers and values are cut to a narrow table (:class:`Numbered`), over which the rounds
+pass.  A pass looks only at the scopes that still have ranges to narrow.
+
 A percentile p of n values is the value of rank ceil(p n / 100), ties and repeated rows
 counting each.  Values that are null, NaN, infinite or out of bounds don't count; a group
 without values does not come out.  A null group key is a group of its own.
@@ -18,7 +22,8 @@ merges parts of any number with a rank error of at most n / m + (number of parts
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,46 +31,73 @@ from pyspark.sql.window import Window
 
 from ..session import cut, small_side
 
-#: Local quantiles that a partition proposes for a range.
-PROPOSALS = 32
+#: Local quantiles that a partition proposes for a range, while PROPOSED of all partitions allow.
+PROPOSALS, PROPOSED = 32, 65_536
 #: A range of at most so many values is sorted; bounds what is gathered for one range.
 FINISH = 4096
 #: Rounds after which the operator gives up with an error; the range shrinks about tenfold a round.
 MAX_ROUNDS = 60
-
-
-def unpivot(df: DataFrame, columns: Sequence[str], groups: Sequence[str | Column], low: float, high: float) -> DataFrame:
-    """Rows (groups, metric, v) of the finite values from low to high."""
-    values = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns]))
-    long = df.select(*groups, values.alias("__x")).select(*[c for c in _names(groups)], "__x.metric", "__x.v")
-    return long.where(F.col("v").between(low, high) & ~F.isnan("v")).withColumn("v", F.col("v") + 0.0)
-
-
-def _names(groups: Sequence[str | Column]) -> list[str]:
-    return [g if isinstance(g, str) else g._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for g in groups]
+#: Pivots of a group up to which they stand in columns of their own, for generated code; more stand in an array.
+PIVOT_COLUMNS = 24
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
-def multi_select(long: DataFrame, keys: Sequence[str], ranks: Sequence[int], scale: int = 100, finish: int = FINISH, proposals: int = PROPOSALS) -> DataFrame:
-    """(keys, n, i, value): for each group and each r of ranks, the value of rank ceil(r n / scale), at least 1.
+class Numbered:
+    """Values with numbered groups: several columns of a table, grouped by all of ``keys`` and, as a second scope, by the first alone.
 
-    ``long`` holds the keys and a double v; it is scanned twice a round, so it should be a
-    cheap scan or a cut table.  i is the place of r in ``ranks``.
+    ``sizes``: gid, n, the keys, scope (0: all keys, 1: the first alone) and metric of each
+    group with values.  ``values(scopes)``: (gid, v) of the rows, for some of the scopes.
     """
-    keys = list(keys)
-    sizes = cut(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("gid", F.monotonically_increasing_id()))
-    tagged = lambda rows, side: rows.join(side, _on(rows, side, keys)).select("gid", "v", *[c for c in side.columns if c not in (*keys, "gid")])
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(ranks)]))
-    targets = sizes.select("gid", "n", wanted.alias("t")).select(
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], keys: Sequence[str], low: float, high: float, scopes: Sequence[int] = (0,)) -> None:
+        self.columns, self.width = list(columns), 2 * len(columns)
+        good = [F.when(F.col(c).cast("double").between(low, high) & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + 0.0) for c in columns]
+        narrow = df.select(*keys, *[v.alias(f"v{k}") for k, v in enumerate(good)])
+        counts = narrow.groupBy(*keys).agg(*[F.count(f"v{k}").alias(f"n{k}") for k in range(len(columns))])
+        counts = cut(counts.withColumn("g0", F.monotonically_increasing_id()))
+        if 1 in scopes:
+            firsts = counts.groupBy(keys[0]).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(columns))])
+            firsts = cut(firsts.withColumn("g1", F.monotonically_increasing_id()))
+            ids = cut(counts.join(firsts.select(F.col(keys[0]).alias("__first"), "g1"), F.col(keys[0]).eqNullSafe(F.col("__first"))).select(*keys, "g0", "g1"))
+        else:
+            firsts, ids = None, counts.select(*keys, "g0", F.lit(None).cast("bigint").alias("g1"))
+        self.sizes = cut(self._sizes(counts, firsts, keys))
+        side = small_side(ids)
+        self.rows = cut(narrow.join(side, _on(narrow, side, keys)).select("g0", "g1", *[f"v{k}" for k in range(len(columns))]))
+
+    def gid(self, scope: int, k: int) -> Column:
+        """The number of a row's group in a scope and metric."""
+        return F.col(f"g{scope}") * self.width + (2 * k + scope)
+
+    def _sizes(self, counts: DataFrame, firsts: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+        parts = []
+        for scope, table in ((0, counts), (1, firsts)):
+            if table is not None:
+                own = [F.col(c) if scope == 0 or c == keys[0] else F.lit(None).cast(dict(counts.dtypes)[c]).alias(c) for c in keys]
+                each = F.inline(F.array(*[F.struct(self.gid(scope, k).alias("gid"), F.col(f"n{k}").alias("n"), F.lit(c).alias("metric")) for k, c in enumerate(self.columns)]))
+                parts.append(table.select(*own, F.lit(scope).alias("scope"), each).where("n > 0"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def values(self, scopes: Sequence[int]) -> DataFrame:
+        each = [F.struct(self.gid(s, k).alias("gid"), F.col(f"v{k}").alias("v")) for s in scopes for k in range(len(self.columns))]
+        return self.rows.select(F.inline(F.array(*each))).where("v is not null")
+
+
+def multi_select(sizes: DataFrame, values: Callable[[Sequence[int]], DataFrame], ranks: Sequence[int], scale: int = 100, finish: int = FINISH, proposals: int | None = None) -> DataFrame:
+    """(gid, i, value): for each group and each r of ranks, the value of rank ceil(r n / scale), at least 1.
+
+    ``sizes`` holds gid, n and scope of each group (a cut table), ``values`` gives (gid, v)
+    of some scopes, in cheap passes.  i is the place of r in ``ranks``.
+    """
+    wanted = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(ranks)]))
+    targets = sizes.select("gid", "scope", "n", wanted).select(
         "gid",
-        F.col("t.i").alias("i"),
-        F.greatest(F.lit(1), F.expr(f"(t.r * n + {scale - 1}) div {scale}")).alias("k"),
+        "scope",
+        "i",
+        F.greatest(F.lit(1), F.expr(f"(r * n + {scale - 1}) div {scale}")).alias("k"),
         F.lit(float("-inf")).alias("lo"),
         F.lit(float("inf")).alias("hi"),
         F.lit(0).cast("bigint").alias("below"),
@@ -75,33 +107,42 @@ def multi_select(long: DataFrame, keys: Sequence[str], ranks: Sequence[int], sca
     targets = cut(targets)
     for _ in range(MAX_ROUNDS):
         wide = targets.where(F.col("value").isNull() & (F.col("left") > finish))
-        if wide.isEmpty():
+        scopes = [r["scope"] for r in wide.select("scope").distinct().collect()]  # at most two
+        if not scopes:
             break
-        targets = _round(long, sizes, targets, wide, tagged, proposals)
+        targets = _round(values(scopes), targets, wide, len(ranks), proposals)
     else:
         raise RuntimeError("ranges did not shrink")
     last = targets.where("value is null")
-    ranges = last.select("gid", "lo", "hi", "below").distinct()
-    spans = sizes.join(ranges.groupBy("gid").agg(F.collect_list(F.struct("lo", "hi", "below")).alias("spans")), "gid").select(*keys, "gid", "spans")
-    inside = tagged(long, small_side(cut(spans))).select("gid", "v", F.explode(F.filter("spans", lambda s: (s["lo"] < F.col("v")) & (F.col("v") < s["hi"]))).alias("s"))
-    gathered = inside.groupBy("gid", "s").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    gathered = gathered.select("gid", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "vs")
-    ended = last.drop("value").join(gathered, ["gid", "lo", "hi"]).withColumn("value", F.element_at("vs", (F.col("k") - F.col("below")).cast("int")))
-    found = targets.where("value is not null").select("gid", "i", "value").unionByName(ended.select("gid", "i", "value"))
-    return sizes.join(found, "gid").select(*keys, "n", "i", "value")
+    ranges = cut(last.select("gid", "lo", "hi", "below").distinct().withColumn("rid", F.monotonically_increasing_id()))
+    whole = (F.col("lo") == float("-inf")) & (F.col("hi") == float("inf"))
+    spans = ranges.groupBy("gid").agg(F.max(F.when(whole, F.col("rid"))).alias("whole"), F.collect_list(F.struct("lo", "hi", "rid")).alias("spans"))
+    held = F.transform(F.filter("spans", lambda s: (s["lo"] < F.col("v")) & (F.col("v") < s["hi"])), lambda s: s["rid"])
+    inside = values([0, 1] if _has(sizes, 1) else [0]).join(small_side(cut(spans)), "gid")
+    inside = inside.select("v", F.explode(F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(held)).alias("rid"))
+    # A range holds at most ``finish`` values, so sorting one is one small task.
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("v")).cast("bigint")
+    placed = inside.select("rid", "v", place.alias("place"))
+    asked = last.join(ranges, ["gid", "lo", "hi", "below"]).select("gid", "i", F.col("rid"), (F.col("k") - F.col("below")).alias("place"))
+    ended = placed.join(small_side(cut(asked)), ["rid", "place"]).select("gid", "i", F.col("v").alias("value"))
+    return targets.where("value is not null").select("gid", "i", "value").unionByName(ended)
+
+
+def _has(sizes: DataFrame, scope: int) -> bool:
+    return not sizes.where(F.col("scope") == scope).isEmpty()
 
 
-def _round(long: DataFrame, sizes: DataFrame, targets: DataFrame, wide: DataFrame, tagged, proposals: int) -> DataFrame:
+def _round(long: DataFrame, targets: DataFrame, wide: DataFrame, ranks: int, proposals: int | None) -> DataFrame:
     """One round: local quantiles, pivots, counts, narrower ranges."""
-    keys = [c for c in sizes.columns if c not in ("n", "gid")]
-    ranges = wide.select("gid", "lo", "hi").distinct()
-    spans = cut(sizes.join(ranges.groupBy("gid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "gid").select(*keys, "gid", "spans"))
-    inside = tagged(long, small_side(spans)).select(
-        "gid", "v", F.spark_partition_id().alias("part"), F.explode(F.filter("spans", lambda s: (s["lo"] < F.col("v")) & (F.col("v") < s["hi"]))).alias("s")
-    )
+    proposals = proposals or max(3, min(PROPOSALS, PROPOSED // max(1, long.rdd.getNumPartitions())))
+    spans = cut(wide.select("gid", "lo", "hi").distinct().groupBy("gid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    first = F.get("spans", F.lit(0))
+    held = F.filter("spans", lambda s: (s["lo"] < F.col("v")) & (F.col("v") < s["hi"]))
+    in_first = F.when((first["lo"] < F.col("v")) & (F.col("v") < first["hi"]), F.array(first)).otherwise(F.array().cast("array<struct<lo:double,hi:double>>"))
+    inside = long.join(small_side(spans), "gid").select("gid", "v", F.spark_partition_id().alias("part"), F.explode(F.when(F.size("spans") == 1, in_first).otherwise(held)).alias("s"))
     points = F.percentile_approx("v", F.array(*[F.lit(i / proposals) for i in range(proposals + 1)]), F.lit(10 * proposals))
-    local = inside.groupBy("gid", "s", "part").agg(points.alias("q"), F.count(F.lit(1)).alias("c"))
-    local = local.select("gid", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.explode("q").alias("q"), (F.col("c") / (proposals + 1)).alias("weight"))
+    local = inside.groupBy("gid", "s.lo", "s.hi", "part").agg(points.alias("q"), F.count(F.lit(1)).alias("c"))
+    local = local.select("gid", "lo", "hi", F.explode("q").alias("q"), (F.col("c") / (proposals + 1)).alias("weight"))
     local = local.groupBy("gid", "lo", "hi", "q").agg(F.sum("weight").alias("weight"))
     run = Window.partitionBy("gid", "lo", "hi").orderBy("q")
     local = local.select("gid", "lo", "hi", "q", (F.sum("weight").over(run) / F.sum("weight").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
@@ -112,16 +153,22 @@ def _round(long: DataFrame, sizes: DataFrame, targets: DataFrame, wide: DataFram
         F.coalesce(F.min(F.when(F.col("f") >= F.col("at"), F.col("q"))), F.max("q")).alias("p2"),
         F.coalesce(F.min(F.when(F.col("f") >= F.col("at") + margin, F.col("q"))), F.max("q")).alias("p3"),
     )
-    picked = cut(picked.select("gid", "i", F.sort_array(F.array("p1", "p2", "p3")).alias("p")))
-    pivots = picked.groupBy("gid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("pivots"))
-    pivots = cut(sizes.join(pivots, "gid").select(*keys, "gid", "pivots"))
+    picked = picked.groupBy("gid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("p1", "p2", "p3"))))).alias("pivots"))
+    pivots = cut(picked)
     # Slot 2 j lies below pivot j, slot 2 j + 1 is pivot j itself: below, at and above, for all pivots at once.
-    under = F.size(F.filter("pivots", lambda p: p < F.col("v")))
-    slot = 2 * under + F.when(F.get("pivots", under) == F.col("v"), 1).otherwise(0)
-    counts = tagged(long, small_side(pivots)).groupBy("gid", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    v = F.col("v")
+    if 3 * ranks <= PIVOT_COLUMNS:
+        each = [f"__p{j}" for j in range(3 * ranks)]
+        side = pivots.select("gid", *[F.get("pivots", F.lit(j)).alias(c) for j, c in enumerate(each)])
+        slot = reduce(lambda a, b: a + b, [F.when(F.col(c) < v, 2).when(F.col(c) == v, 1).otherwise(0) for c in each])
+    else:
+        side = pivots
+        under = F.size(F.filter("pivots", lambda p: p < v))
+        slot = 2 * under + F.when(F.get("pivots", under) == v, 1).otherwise(0)
+    counts = long.join(small_side(side), "gid").groupBy("gid", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("gid").orderBy("slot")
     counts = counts.select("gid", "slot", "c", (F.sum("c").over(upto) - F.col("c")).alias("before"))
-    slots = counts.join(pivots.select("gid", "pivots"), "gid").select(
+    slots = counts.join(pivots, "gid").select(
         "gid",
         "before",
         "c",
@@ -130,7 +177,7 @@ def _round(long: DataFrame, sizes: DataFrame, targets: DataFrame, wide: DataFram
         F.coalesce(F.get("pivots", F.floor(F.col("slot") / 2).cast("int")), F.lit(float("inf"))).alias("to"),
     )
     moved = wide.drop("value").join(slots, "gid").where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("c")))
-    moved = moved.select("gid", "i", "k", F.col("from").alias("lo"), F.col("to").alias("hi"), F.col("before").alias("below"), F.col("c").alias("left"), F.col("hit").alias("value"))
+    moved = moved.select("gid", "scope", "i", "k", F.col("from").alias("lo"), F.col("to").alias("hi"), F.col("before").alias("below"), F.col("c").alias("left"), F.col("hit").alias("value"))
     rest = targets.join(wide.select("gid", "i"), ["gid", "i"], "left_anti")
     return cut(rest.select(moved.columns).unionByName(moved))
 
@@ -143,19 +190,19 @@ def percentiles(df: DataFrame, columns: Sequence[str], group: str, part: str, pe
 
     Columns out: group, part (null in rows over all parts), all_parts, metric, n, rank_error, p25, ...
     """
-    scopes = F.explode(F.array(F.lit(True), F.lit(False)))
-    scoped = unpivot(df, columns, [group, part], low, high).withColumn("all_parts", scopes).withColumn(part, F.when(~F.col("all_parts"), F.col(part)))
-    keys = [group, part, "all_parts", "metric"]
-    found = multi_select(scoped.select(*keys, "v"), keys, percents, finish=finish)
-    return found.groupBy(*keys, "n").agg(F.lit(0).alias("rank_error"), *[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"p{p}") for i, p in enumerate(percents)])
+    table = Numbered(df, columns, [group, part], low, high, scopes=(0, 1))
+    found = multi_select(table.sizes, table.values, percents, finish=finish)
+    wide = found.groupBy("gid").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"p{p}") for i, p in enumerate(percents)])
+    keyed = table.sizes.join(wide, "gid")
+    return keyed.select(group, part, (F.col("scope") == 1).alias("all_parts"), "metric", "n", F.lit(0).alias("rank_error"), *[f"p{p}" for p in percents])
 
 
 def summarise(df: DataFrame, columns: Sequence[str], keys: Sequence[str], m: int = 64, low: float = -1.0, high: float = 1.0, finish: int = FINISH) -> DataFrame:
     """(keys, metric, n, m, points): the exact quantiles 0/m, 1/m ... m/m of each part; a summary combines with any other of its m."""
-    groups = [*keys, "metric"]
-    found = multi_select(unpivot(df, columns, keys, low, high), groups, range(m + 1), scale=m, finish=finish)
+    table = Numbered(df, columns, keys, low, high)
+    found = multi_select(table.sizes, table.values, range(m + 1), scale=m, finish=finish)
     points = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"])
-    return found.groupBy(*groups, "n").agg(points.alias("points")).withColumn("m", F.lit(m))
+    return table.sizes.join(found.groupBy("gid").agg(points.alias("points")), "gid").select(*keys, "metric", "n", "points", F.lit(m).alias("m"))
 
 
 def combine(summaries: DataFrame, keys: Sequence[str], percents: Sequence[int] = (25, 50, 75, 99)) -> DataFrame:
