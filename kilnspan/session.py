@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table of the shared folder, in columns: for what is passed over several times.
+
+    Like the folders of views and stores it stays until :func:`clear`, as results that are not yet computed may read it.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables, views, stores and stream states that queries have left in the shared folder."""
+    for kind in ("table", "views", "seen", "stream"):
+        for at in matching(spark, f"{shared_folder(spark)}/{kind}-*"):
+            remove(spark, at)
+
+
 def _bytes(field: T.StructField):
     """Size of a column's values: what they hold if of varying length, else their type's width."""
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
