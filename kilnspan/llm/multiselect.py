@@ -22,17 +22,21 @@ merges parts of any number with a rank error of at most n / m + (number of parts
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut, small_side
+from ..session import cut, small_side, written
 
 #: Local quantiles that a partition proposes for a range, while PROPOSED of all partitions allow.
-PROPOSALS, PROPOSED = 32, 65_536
+PROPOSALS, PROPOSED = 64, 131_072
+#: Values of a partition from which it proposes at a time; bounds what a task holds.
+STRETCH = 1_000_000
 #: A range of at most so many values is sorted; bounds what is gathered for one range.
 FINISH = 4096
 #: Rounds after which the operator gives up with an error; the range shrinks about tenfold a round.
@@ -66,7 +70,7 @@ class Numbered:
             firsts, ids = None, counts.select(*keys, "g0", F.lit(None).cast("bigint").alias("g1"))
         self.sizes = cut(self._sizes(counts, firsts, keys))
         side = small_side(ids)
-        self.rows = cut(narrow.join(side, _on(narrow, side, keys)).select("g0", "g1", *[f"v{k}" for k in range(len(columns))]))
+        self.rows = written(narrow.join(side, _on(narrow, side, keys)).select("g0", "g1", *[f"v{k}" for k in range(len(columns))]))
 
     def gid(self, scope: int, k: int) -> Column:
         """The number of a row's group in a scope and metric."""
@@ -132,6 +136,35 @@ def _has(sizes: DataFrame, scope: int) -> bool:
     return not sizes.where(F.col("scope") == scope).isEmpty()
 
 
+def _proposer(proposals: int):
+    """Of each stretch of a partition: for each range its quantiles 0/p, 1/p ... p/p with the number of values that each stands for."""
+
+    def propose(held: list[pd.DataFrame]) -> pd.DataFrame:
+        gid, lo, hi, v = (np.concatenate([h[c].to_numpy() for h in held]) for c in ("gid", "lo", "hi", "v"))
+        order = np.lexsort([v, lo, gid])
+        gid, lo, hi, v = gid[order], lo[order], hi[order], v[order]
+        starts = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (lo[1:] != lo[:-1])])
+        counts = np.diff(np.r_[starts, len(v)])
+        several = np.minimum(proposals, counts - 1) + 1  # no more than there are values
+        of = np.repeat(np.arange(len(starts)), several)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+        at = starts[of] + (nth * (counts[of] - 1)) // np.maximum(several[of] - 1, 1)
+        return pd.DataFrame({"gid": gid[at], "lo": lo[at], "hi": hi[at], "q": v[at], "weight": counts[of] / several[of]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= STRETCH:
+                yield propose(held)
+                held.clear()
+        if held:
+            yield propose(held)
+
+    return run
+
+
 def _round(long: DataFrame, targets: DataFrame, wide: DataFrame, ranks: int, proposals: int | None) -> DataFrame:
     """One round: local quantiles, pivots, counts, narrower ranges."""
     proposals = proposals or max(3, min(PROPOSALS, PROPOSED // max(1, long.rdd.getNumPartitions())))
@@ -139,10 +172,8 @@ def _round(long: DataFrame, targets: DataFrame, wide: DataFrame, ranks: int, pro
     first = F.get("spans", F.lit(0))
     held = F.filter("spans", lambda s: (s["lo"] < F.col("v")) & (F.col("v") < s["hi"]))
     in_first = F.when((first["lo"] < F.col("v")) & (F.col("v") < first["hi"]), F.array(first)).otherwise(F.array().cast("array<struct<lo:double,hi:double>>"))
-    inside = long.join(small_side(spans), "gid").select("gid", "v", F.spark_partition_id().alias("part"), F.explode(F.when(F.size("spans") == 1, in_first).otherwise(held)).alias("s"))
-    points = F.percentile_approx("v", F.array(*[F.lit(i / proposals) for i in range(proposals + 1)]), F.lit(10 * proposals))
-    local = inside.groupBy("gid", "s.lo", "s.hi", "part").agg(points.alias("q"), F.count(F.lit(1)).alias("c"))
-    local = local.select("gid", "lo", "hi", F.explode("q").alias("q"), (F.col("c") / (proposals + 1)).alias("weight"))
+    inside = long.join(small_side(spans), "gid").select("gid", "v", F.explode(F.when(F.size("spans") == 1, in_first).otherwise(held)).alias("s"))
+    local = inside.select("gid", "s.lo", "s.hi", "v").mapInPandas(_proposer(proposals), "gid bigint, lo double, hi double, q double, weight double")
     local = local.groupBy("gid", "lo", "hi", "q").agg(F.sum("weight").alias("weight"))
     run = Window.partitionBy("gid", "lo", "hi").orderBy("q")
     local = local.select("gid", "lo", "hi", "q", (F.sum("weight").over(run) / F.sum("weight").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
