@@ -72,17 +72,16 @@ def require_status(represented: DataFrame, resolved: DataFrame) -> None:
 def visible(rows: DataFrame, accepted: DataFrame, all_attempts: bool = False, all_invocations: bool = False) -> DataFrame:
     """Default visibility: rows outside training and of iteration 0 pass; training rows need an accepted attempt; invocation 0.
 
-    One semi-join; the accepted attempts are broadcast while their number is within a bound.
+    One pass and one join; the accepted attempts are broadcast while their number is within a bound.
     """
     if not all_invocations:
         rows = rows.where("invocation_id = 0")
     if all_attempts:
         return rows
-    marked = accepted.select(*[F.col(c).alias(f"__{c}") for c in (*ITERATION, "attempt_id")])
+    marked = small_side(accepted.select(*[F.col(c).alias(f"__{c}") for c in (*ITERATION, "attempt_id")]).distinct())
     free = (F.col("phase") != "train") | (F.col("global_batch_id") == 0)
     match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in (*ITERATION, "attempt_id")])
-    passing = rows.where(free)
-    return passing.unionByName(rows.where(~free).join(small_side(marked), match, "left_semi"))
+    return rows.join(marked, match, "left").where(free | F.col("__attempt_id").isNotNull()).select(*rows.columns)
 
 
 def terminal_rules() -> dict[str, Column]:

@@ -13,7 +13,7 @@ from .. import checks
 from ..functions import arrays
 from ..operators import asof, attempts, contribution, experts, lineage, logs, loss_slope, pathways, reconstruct, router, scalars, segments, topology, transports
 from ..schema import KEY
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import records, tensors
 from ..streaming import controller
 from . import bridge
@@ -41,19 +41,24 @@ def _accepted(spark: SparkSession, folder: str) -> DataFrame:
     return attempts.resolve(bridge.status(spark, folder)).where("accepted_count = 1").select("model_id", "global_batch_id", F.col("accepted_attempt").alias("attempt_id"))
 
 
-def _visible(spark: SparkSession, folder: str) -> DataFrame:
-    return attempts.visible(bridge.clean_floats(spark, folder), _accepted(spark, folder))
+def _visible(spark: SparkSession, folder: str, accepted: DataFrame | None = None) -> DataFrame:
+    return attempts.visible(bridge.clean_floats(spark, folder), accepted if accepted is not None else cut(_accepted(spark, folder)))
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    losses = _visible(spark, folder).where((F.col("act_name") == scalars.LOSS) & (F.col("phase") == "train") & checks.is_finite(F.col("value")))
-    counts = attempts.visible(bridge.clean_ints(spark, folder), _accepted(spark, folder)).where((F.col("act_name") == scalars.LOSS_TOKENS) & (F.col("phase") == "train"))
+def _pairs(spark: SparkSession, folder: str, accepted: DataFrame) -> DataFrame:
+    losses = _visible(spark, folder, accepted).where((F.col("act_name") == scalars.LOSS) & (F.col("phase") == "train") & checks.is_finite(F.col("value")))
+    counts = attempts.visible(bridge.clean_ints(spark, folder), accepted).where((F.col("act_name") == scalars.LOSS_TOKENS) & (F.col("phase") == "train"))
     return scalars.pair_losses(losses, counts, strict=False)
 
 
-def _training_scalar(spark: SparkSession, folder: str) -> DataFrame:
-    grads = _visible(spark, folder).where((F.col("phase") == "train") & checks.is_finite(F.col("value")) & (F.col("dataset_id") == -1))
-    return scalars.training_scalar("run", lm_loss_iteration=scalars.weighted_loss(_pairs(spark, folder), strict=False), grad_norm=scalars.direct_scalar(grads, scalars.GRAD_NORM, strict=False))
+def _grad_norm(spark: SparkSession, folder: str, accepted: DataFrame) -> DataFrame:
+    rows = _visible(spark, folder, accepted).where((F.col("phase") == "train") & checks.is_finite(F.col("value")) & (F.col("dataset_id") == -1))
+    return scalars.direct_scalar(rows, scalars.GRAD_NORM, strict=False)
+
+
+def _training_scalar(spark: SparkSession, folder: str, accepted: DataFrame) -> DataFrame:
+    losses = scalars.weighted_loss(_pairs(spark, folder, accepted), strict=False)
+    return scalars.training_scalar("run", lm_loss_iteration=losses, grad_norm=_grad_norm(spark, folder, accepted))
 
 
 _LOSS_SQL = TELEMETRY_SQL + """,
@@ -72,7 +77,7 @@ ts as (select *, 'lm_loss_iteration' metric_name from ll union all select *, 'gr
 @query(TELEMETRY_SQL + f"select {_KEYS}, dataset_id, round(value, 6) \"value\" from vis where model_id = '{PREFIX[0]}' and act_name = '{PREFIX[1]}' and direction = '{PREFIX[2]}' and phase = '{PREFIX[3]}'")
 def scan_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted primary rows under a key prefix."""
-    rows = attempts.visible(records.by_prefix(bridge.clean_floats(spark, folder), PREFIX), _accepted(spark, folder))
+    rows = attempts.visible(records.by_prefix(bridge.clean_floats(spark, folder), PREFIX), cut(_accepted(spark, folder)))
     return rows.select(*KEY, "dataset_id", F.round("value", 6).alias("value"))
 
 
@@ -155,11 +160,11 @@ _W3 = [k for k in KEY if k not in ("invocation_id", "attempt_id")]
 
 @query(
     TELEMETRY_SQL
-    + f"select row_id, row_number() over (partition by {', '.join(_W3)}, attempt_id order by row_id) - 1 occurrence from cf where act_name = 'router_token_entropy_mean'"
+    + f"select row_id, row_number() over (partition by {', '.join(_W3)}, attempt_id order by row_id) - 1 occurrence from cf"
 )
 def invocation_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrence of each execution within its attempt, by arrival."""
-    rows = bridge.clean_floats(spark, folder).where("act_name = 'router_token_entropy_mean'").drop("invocation_id")
+    rows = bridge.clean_floats(spark, folder).drop("invocation_id")
     return transports.invocation_ids(rows, [*_W3, "attempt_id"], ["row_id"]).select("row_id", F.col("invocation_id").alias("occurrence"))
 
 
@@ -182,21 +187,20 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
 @query(_LOSS_SQL + "select model_id, phase, global_batch_id, round(metric_value, 6) lm_loss from ll")
 def lm_loss_iteration(spark: SparkSession, folder: str) -> DataFrame:
     """Token-weighted loss of accepted training iterations."""
-    out = scalars.weighted_loss(_pairs(spark, folder), strict=False)
+    out = scalars.weighted_loss(_pairs(spark, folder, cut(_accepted(spark, folder))), strict=False)
     return out.select("model_id", "phase", "global_batch_id", F.round("metric_value", 6).alias("lm_loss"))
 
 
 @query(_LOSS_SQL + "select model_id, phase, global_batch_id, round(metric_value, 6) grad_norm from gn")
 def grad_norm_iteration(spark: SparkSession, folder: str) -> DataFrame:
     """Gradient norm of accepted training iterations."""
-    rows = _visible(spark, folder).where((F.col("phase") == "train") & checks.is_finite(F.col("value")) & (F.col("dataset_id") == -1))
-    return scalars.direct_scalar(rows, scalars.GRAD_NORM, strict=False).select("model_id", "phase", "global_batch_id", F.round("metric_value", 6).alias("grad_norm"))
+    return _grad_norm(spark, folder, cut(_accepted(spark, folder))).select("model_id", "phase", "global_batch_id", F.round("metric_value", 6).alias("grad_norm"))
 
 
 @query(_LOSS_SQL + "select model_id, 'run' run_name, phase, global_batch_id training_iteration_id, global_batch_id, metric_name, round(metric_value, 6) metric_value from ts")
 def training_scalar(spark: SparkSession, folder: str) -> DataFrame:
     """The derived table of both."""
-    return _training_scalar(spark, folder).withColumn("metric_value", F.round("metric_value", 6))
+    return _training_scalar(spark, folder, cut(_accepted(spark, folder))).withColumn("metric_value", F.round("metric_value", 6))
 
 
 @query(
@@ -218,7 +222,8 @@ select *, 'left' side from (select * from o except select * from a) union all se
 )
 def uncovered_iterations(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted iterations without output, and the reverse."""
-    return scalars.uncovered(_training_scalar(spark, folder), _accepted(spark, folder))
+    accepted = cut(_accepted(spark, folder))
+    return scalars.uncovered(_training_scalar(spark, folder, accepted), accepted)
 
 
 @query(
@@ -229,7 +234,8 @@ select g.*, coalesce(h."rows", 0) "rows" from g left join h using (model_id, glo
 )
 def metric_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted iterations in which a required metric is not there exactly once."""
-    return scalars.metric_gaps(_training_scalar(spark, folder), _accepted(spark, folder))
+    accepted = cut(_accepted(spark, folder))
+    return scalars.metric_gaps(_training_scalar(spark, folder, accepted), accepted)
 
 
 @query(TELEMETRY_SQL + "select model_id, phase, global_batch_id, layer_no, round(avg(value), 6) entropy_mean, count(*) sample_count from vis where act_name = 'router_token_entropy_mean' and value is not null and isfinite(value) group by 1, 2, 3, 4")
@@ -246,9 +252,9 @@ from ll l left join gn g on g.model_id = l.model_id and g.global_batch_id < l.gl
 )
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
     """Each iteration's loss with the latest gradient norm before it."""
-    facts = scalars.weighted_loss(_pairs(spark, folder), strict=False).select("model_id", "global_batch_id")
-    rows = _visible(spark, folder).where((F.col("phase") == "train") & checks.is_finite(F.col("value")) & (F.col("dataset_id") == -1))
-    states = scalars.direct_scalar(rows, scalars.GRAD_NORM, strict=False).withColumnRenamed("metric_value", "state_value")
+    accepted = cut(_accepted(spark, folder))
+    facts = scalars.weighted_loss(_pairs(spark, folder, accepted), strict=False).select("model_id", "global_batch_id")
+    states = _grad_norm(spark, folder, accepted).withColumnRenamed("metric_value", "state_value")
     out = asof.latest_before(facts, states, "global_batch_id", ["model_id"], ["state_value"])
     return out.withColumn("state_value", F.round("state_value", 6))
 
