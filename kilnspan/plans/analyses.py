@@ -495,7 +495,8 @@ def window_indicators(spark: SparkSession, folder: str) -> DataFrame:
 def mixture_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """The decisions that follow, window by window."""
     indicators = loss_slope.window_indicators(loss_slope.iteration_losses(bridge.samples(spark, folder), _grid(spark, folder)), 5, 6)
-    return loss_slope.decide(indicators, 5, 6, eta=0.5, uniform_smoothing=0.1)
+    made = loss_slope.decisions_made(loss_slope.decide(indicators, loss_slope.Settings(5, 6, 0.5, 0.1)))
+    return made.withColumn("weights", F.transform("weights", lambda w: F.round(w, 6)))
 
 
 @query(SAMPLES_SQL + "select run_id, training_iteration_id, dataset_id, count(*) sample_count from smp group by 1, 2, 3")
@@ -827,5 +828,5 @@ def streamed_iterations(spark: SparkSession, folder: str) -> DataFrame:
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = controller.complete_iterations(stream, 40, [0, 1, 2, 3])
     out.writeStream.option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(out.schema).parquet(f"{at}/rows")
+    got = controller.in_order(spark.read.schema(out.schema).parquet(f"{at}/rows"))
     return got.select("training_iteration_id", "dataset_id", "incomplete_reason", "sample_count", "positive_loss_sample_count", "target_token_count", F.round("loss_value", 9).alias("loss_value"))

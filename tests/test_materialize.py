@@ -99,19 +99,28 @@ def test_captures(spark, monkeypatch):
     assert names == {"lm_per_sample_loss", "lm_per_sample_loss_token_count", "iteration_attempt_status"}
     with pytest.raises(ValueError):
         captures.selected_captures({"nothing"})
-    R = captures.Rank
-    assert captures.active_on_rank(R(), "REPLICATED") and not captures.active_on_rank(R(tp=1), "REPLICATED") and captures.active_on_rank(R(tp=1), "TP_SHARDED")
-    assert captures.active_on_rank(R(layers=4), "REPLICATED", "LAYER_SET", 3, [-1]) and not captures.active_on_rank(R(pp=0, pp_size=2), "REPLICATED", "NO_LAYER_LAST_PP")
-    assert not captures.active_on_rank(R(dp=1), "REPLICATED", dp_rank_0_only=True)
-    assert captures.recompute_policy({"a", "b"}, "a", "b") == {"a": False, "b": True}
-    for bad in (("a", "a"), ("z", None)):
+    ranks = spark.createDataFrame([(r, r % 2, r // 4, r // 2 % 2, 0, 0) for r in range(8)], "rank int, tp int, pp int, dp int, ep int, cp int")
+    measures = [
+        ("whole", "REPLICATED", "EVERY_LAYER", 0, None, False), ("halves", "TP_SHARDED", "EVERY_LAYER", 0, None, False), ("all", "GLOBAL_RANK_SHARDED", "EVERY_LAYER", 0, None, False),
+        ("first", "REPLICATED", "NO_LAYER_FIRST_PP", -1, None, False), ("last", "REPLICATED", "NO_LAYER_LAST_PP", -1, None, True), ("set", "DP_SHARDED", "LAYER_SET", 3, [-1], False), ("other", "REPLICATED", "LAYER_SET", 2, [0, -1], False),
+    ]
+    got = {}
+    for r in captures.emitting_ranks(spark.createDataFrame(measures, captures.MEASURES), ranks, 4).collect():
+        got.setdefault(r.act_name, set()).add(r["rank"])
+    assert got == {"whole": {0, 2, 4, 6}, "halves": set(range(8)), "all": set(range(8)), "first": {0, 2}, "last": {4}, "set": {0, 2, 4, 6}}
+    for bad in (("x", "SPREAD", "EVERY_LAYER", 0, None, False), ("x", "REPLICATED", "LAYER_SET", 0, None, False), ("x", "REPLICATED", "EVERY_LAYER", 0, [1], False), ("x", "REPLICATED", "LAYER_SET", 0, [4], False)):
+        with pytest.raises(DataError):
+            captures.emitting_ranks(spark.createDataFrame([bad], captures.MEASURES), ranks, 4)
+    assert captures.replay_settings({"a", "b"}, "a", "b") == {"a": False, "b": True}
+    for bad in (("a", "a"), ("c", ""), ("grad-norm", None)):
         with pytest.raises(ValueError):
-            captures.recompute_policy({"a"}, *bad)
-    assert captures.provenance_modes("auto", {"train": 3})["train"] == "dynamic" and captures.provenance_modes("auto")["test"] == "constant-zero"
-    assert captures.provenance_modes("train=dynamic,valid=constant-zero,test=dynamic")["test"] == "dynamic"
-    for bad in ("train=dynamic", "train=x,valid=dynamic,test=dynamic", "train"):
+            captures.replay_settings({"a", "grad-norm"}, *bad)
+    assert captures.dataset_modes("auto", {"train": 3})["train"] == "dynamic" and captures.dataset_modes("auto")["test"] == "constant-zero"
+    assert captures.dataset_modes("auto", {"valid": 3}, direct_validation=True)["valid"] == "constant-zero" and captures.dataset_modes("train=dynamic", per_sample=False)["train"] == "constant-zero"
+    assert captures.dataset_modes("train=dynamic,valid=constant-zero,test=dynamic")["test"] == "dynamic"
+    for bad in ("train=dynamic", "train=x,valid=dynamic,test=dynamic", "train=dynamic,train=dynamic,test=dynamic", "", "train,valid,test"):
         with pytest.raises(ValueError):
-            captures.provenance_modes(bad)
+            captures.dataset_modes(bad)
     assert captures.required_metadata("PER_SAMPLE", False, "SEGMENTED_PACK", True) == {"valid_count", "dataset_id"}
     assert captures.resolve_shape(["s", 3, "actual_token_packed"], {"s": 2}) == (2, 3, -1) and captures.row_bytes((5, 2, 3), 4) == 24
     with pytest.raises(KeyError):

@@ -224,35 +224,49 @@ def test_loss_slope(spark):
     ind = {r.dataset_id: r for r in loss_slope.window_indicators(m, 3).collect()}
     assert ind[0].loss_slope == pytest.approx(-1.0) and ind[0].indicator == pytest.approx(1.0) and ind[0].status == "COMPLETE"
     assert ind[1].incomplete_reason == "missing_loss_iterations=2" and ind[1].loss_slope is None
-    d = loss_slope.decide(loss_slope.window_indicators(m, 3), 3, 2, 2.0, 0.5).first()
-    assert d.decision_type == "HOLD_INCOMPLETE" and list(d.weights) == [0.5, 0.5] and d.effective_training_iteration == 4
-
-
-def test_controller():
-    c = loss_slope.Controller("r", [0, 1], [1, 1], 5, 2, 2.0, 0.5)
-    made = c.step(1, {d: {"status": "COMPLETE", "indicator": i} for d, i in ((0, 0.1), (1, 0.4))})
+    d = loss_slope.decisions_made(loss_slope.decide(loss_slope.window_indicators(m, 3), loss_slope.Settings(3, 2, 2.0, 0.5))).first()
+    assert d.decision_type == "HOLD_INCOMPLETE" and list(d.weights) == [0.5, 0.5] and d.effective_training_iteration == 4 and d.reason == "dataset=1:missing_loss_iterations=2"
+
+
+def test_decisions(spark):
+    ddl = "run_id string, dataset_id int, window_id bigint, status string, incomplete_reason string, indicator double"
+    s = loss_slope.Settings(5, 2, 2.0, 0.5)
+    ok = lambda w, d, i: ("r", d, w, "COMPLETE", "", i)
+    one = spark.createDataFrame([ok(1, 1, 0.4), ok(1, 0, 0.1)], ddl)
+    two = spark.createDataFrame([ok(2, 0, 0.0), ok(2, 1, 0.0)], ddl)
+    after = loss_slope.decide(one, s)
+    made = loss_slope.decisions_made(after).first()
     z = [0.5 * math.exp(0.2), 0.5 * math.exp(0.8)]
-    assert made.weights == pytest.approx([0.5 * x / sum(z) + 0.25 for x in z]) and made.decision_type == "UPDATE"
-    other = loss_slope.Controller("r", [0, 1], [1, 1], 5, 2, 2.0, 0.5)
-    other.load(c.state())
-    assert other.state() == c.state()
+    assert list(made.weights) == pytest.approx([0.5 * x / sum(z) + 0.25 for x in z]) and (made.decision_type, made.effective_window_id, made.effective_training_iteration) == ("UPDATE", 2, 6)
+    # window by window as well as all at once
+    end = loss_slope.decide(two, s, after.drop("made")).first()
+    whole = loss_slope.decide(one.union(two), s).first()
+    assert (end.weights, end.last_window_id, end.next_decision_id, len(end.made)) == (whole.weights, 2, 2, 0) and len(whole.made) == 1
+    begun = loss_slope.first_standing(spark, {"r": {1: 3, 0: 1}})
+    assert list(begun.first().weights) == [0.25, 0.75]
+    record = s.record(begun.first().asDict())
+    assert s.standing(record)["weights"] == [0.25, 0.75]
     with pytest.raises(ValueError):
-        loss_slope.Controller("q", [0, 1], [1, 1], 5, 2, 2.0, 0.5).load(c.state())
-    with pytest.raises(RuntimeError):
-        c.step(1, {0: {}, 1: {}})
-    assert c.step(2, {d: {"status": "COMPLETE", "indicator": 0.0} for d in (0, 1)}) is None
+        loss_slope.Settings(5, 2, 2.5, 0.5).standing(record)
+    for bad in (two, one.union(one.withColumn("window_id", F.lit(3).cast("bigint")))):
+        with pytest.raises(Exception, match="a window is missing"):
+            loss_slope.decide(bad, s).collect()
+    with pytest.raises(Exception, match="do not cover"):
+        loss_slope.decide(one.where("dataset_id = 0"), s, begun).collect()
+    assert loss_slope.decide(one.limit(0), s).count() == 0
 
 
-def test_selector():
-    s = loss_slope.Selector(42, 2, 4, 2)
-    drawn = s.draw([0.4, 0.6], 1)["dataset_index"] + s.draw([0.4, 0.6], 1)["dataset_index"]
-    assert drawn == random.Random(42).choices(range(2), weights=[0.4, 0.6], k=8)
-    assert sum(s.counters) == 8
+def test_drawn_windows():
+    w = list(loss_slope.drawn_windows(42, [(1, [0.4, 0.6]), (2, [2, 3])], 4, 2))
+    assert w[0]["dataset_index"] + w[1]["dataset_index"] == random.Random(42).choices(range(2), weights=[0.4, 0.6], k=8)
+    assert sum(w[1]["counters_after"]) == 8 and w[1]["first_training_iteration"] == 3
+    for bad in ([(1, [])], [(1, [1, 0])], [(1, [1, 1]), (2, [1])]):
+        with pytest.raises(ValueError):
+            list(loss_slope.drawn_windows(1, bad, 4, 2))
 
 
 def test_sample_lookup(spark):
-    s = loss_slope.Selector(1, 2, 4, 2)
-    w = [s.draw([0.5, 0.5], 1) for _ in range(2)]
+    w = list(loss_slope.drawn_windows(1, [(1, [0.5, 0.5])] * 2, 4, 2))
     df = spark.createDataFrame([("r", x["window_id"], x["first_training_iteration"], x["dataset_index"], x["dataset_sample_index"], x["counters_after"]) for x in w], "run_id string, window_id bigint, first_training_iteration bigint, dataset_index array<int>, dataset_sample_index array<bigint>, counters_after array<bigint>")
     got = {r["index"]: (r.dataset_id, r.record) for r in loss_slope.sample_lookup(spark.range(8).select(F.col("id").alias("index")), df, 4, [3, 2]).collect()}
     for i in range(8):

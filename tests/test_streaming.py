@@ -1,9 +1,12 @@
 """Streams against their batch counterparts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from kilnspan.operators import lambda_views, loss_slope, seen
+from kilnspan.sources import audit
 from kilnspan.streaming import controller, counts
 from tests.test_upkeep import LOG, RAW, brute, brute_repeats, events, messages
 from tests.test_upkeep import counts as as_counts
@@ -33,24 +36,105 @@ def run_stream(spark, tmp_path, files, expected=4, sink=None):
         raise q.exception()
 
 
-def test_online_equals_batch(spark, tmp_path):
+SETTINGS = loss_slope.Settings(2, 2, 0.5, 0.1)
+
+
+def make_batches(spark):
     rows = samples()
-    files = [rows[10:15], rows[0:7], rows[15:], rows[7:10]]  # out of order
-    control = loss_slope.Controller("r", [0, 1], [1, 1], 2, 2, 0.5, 0.1)
-    online = controller.OnlineControl(str(tmp_path / "out"), {"r": control})
-    run_stream(spark, tmp_path, files, sink=online)
-    got = spark.read.parquet(str(tmp_path / "out/iteration_metrics")).drop("batch")
     df = spark.createDataFrame([r for r in rows if r[4] is not None], controller.SAMPLE_SCHEMA)
     grid = df.select("run_id", "training_iteration_id").distinct().withColumn("dataset_id", F.explode(F.array(F.lit(0), F.lit(1))))
-    want = loss_slope.iteration_losses(df, grid)
+    return rows, loss_slope.iteration_losses(df, grid)
+
+
+def decisions(df):
+    return sorted((r.run_id, r.decision_id, r.decision_type, r.effective_training_iteration, tuple(round(w, 12) for w in r.weights)) for r in df.collect())
+
+
+def test_online_equals_batch(spark, tmp_path):
+    rows, want = make_batches(spark)
+    files = [rows[10:15], rows[0:7], rows[15:], rows[7:10]]  # out of order
+    online = controller.OnlineControl(spark, str(tmp_path / "out"), SETTINGS)
+    run_stream(spark, tmp_path, files, sink=online)
+    online.close()
+    got = spark.read.parquet(str(tmp_path / "out/audit/iteration_metrics")).drop("batch")
     fix = lambda x: sorted((r.run_id, r.training_iteration_id, r.dataset_id, r.status, r.sample_count, r.target_token_count, round(r.loss_value, 9)) for r in x.collect())
     assert fix(got) == fix(want) and got.count() == 8
-    batch = loss_slope.decide(loss_slope.window_indicators(want, 2, 2), 2, 2, 0.5, 0.1).collect()
-    assert [d.effective_training_iteration for d in online.store.all()] == [3] == [r.effective_training_iteration for r in batch]
-    assert online.store.all()[0].weights == pytest.approx(list(batch[0].weights))
-    assert online.snapshot("r", 4)["last_window_id"] == 2
+    indicators = loss_slope.window_indicators(want, 2, 2)
+    batch = loss_slope.decisions_made(loss_slope.decide(indicators, SETTINGS))
+    assert decisions(online.store.all()) == decisions(batch) and batch.count() == 1
+    for table, n in (("window_indicators", 4), ("realized_mixture", 8), ("mixture_decisions", 1)):
+        assert spark.read.parquet(str(tmp_path / f"out/audit/{table}")).count() == n
+    record = online.snapshot("r", 4)
+    assert record["last_window_id"] == 2
+    again = controller.resume(spark, SETTINGS, [record]).first()
+    assert again.last_window_id == 2 and list(again.weights) == list(record["weights"])
+    for other in ({**record, "eta": 2.0}, {k: v for k, v in record.items() if k != "eta"}, {**record, "more": 1}):
+        with pytest.raises(ValueError):
+            controller.resume(spark, SETTINGS, [other])
+    with pytest.raises(ValueError):
+        online.snapshot("r", 3)
+    with pytest.raises(RuntimeError, match="beyond"):
+        online.snapshot("r", 2)
+    with pytest.raises(TimeoutError):
+        online.snapshot("r", 6)
     with pytest.raises(ValueError):
         controller.require_new_run(spark, str(tmp_path / "out"), "r")
+    controller.require_new_run(spark, str(tmp_path / "out"), "other")
+    assert online.store.get("r", 2).decision_id == 1 and online.store.get("r", 9, wait_s=0.1) is None
+    assert sorted(r.outcome for r in spark.read.parquet(str(tmp_path / "out/audit/decision_requests")).collect()) == ["served", "timeout"]
+
+
+def test_online_control_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    _, metrics = make_batches(spark)
+    part = lambda *its: metrics.where(F.col("training_iteration_id").isin(*its))
+    folder = str(tmp_path / "out")
+    first = controller.OnlineControl(spark, folder, SETTINGS)
+    first(part(2), 0)  # waits for iteration 1
+    assert first.standing().count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(controller.DecisionStore, "publish", lambda *_: (_ for _ in ()).throw(OSError("disk full")))
+        with pytest.raises(OSError):
+            first(part(1), 1)
+    first.close()
+    second = controller.OnlineControl(spark, folder, SETTINGS)
+    second(part(1), 1)  # run again
+    second(part(1), 1)  # and once more: it counts already
+    assert second.standing().first().last_window_id == 1
+    third = controller.OnlineControl(spark, folder, SETTINGS)
+    third(part(4, 3), 2)
+    third.close()
+    want = loss_slope.decisions_made(loss_slope.decide(loss_slope.window_indicators(metrics, 2, 2), SETTINGS))
+    assert decisions(third.store.all()) == decisions(want)
+    assert third.standing().first().last_window_id == 2
+    assert spark.read.parquet(f"{folder}/audit/iteration_metrics").count() == 8
+    with pytest.raises(ValueError, match="conflicting"):
+        third.store.publish(want.withColumn("reason", F.lit("x")))
+
+
+def test_audit_failures_come_back(tmp_path):
+    writer, done = audit.AuditWriter(), []
+    writer.submit(lambda: done.append(1))
+    writer.flush()
+    writer.submit(lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        for _ in range(1000):
+            writer.submit(lambda: done.append(2))
+            time.sleep(0.01)
+    assert done[0] == 1
+    for synchronous in (True, False):
+        path = str(tmp_path / f"windows-{synchronous}.jsonl")
+        log = audit.WindowLog(path, synchronous)
+        rows = list(loss_slope.drawn_windows(7, [(1, [1, 1]), (2, [1, 3])], 4, 2))
+        log.append(rows)
+        log.append(rows[:1])
+        log.close()
+        with open(path, "a") as f:
+            f.write('{"torn')
+        log = audit.WindowLog(path, synchronous)
+        assert [r["window_id"] for r in log.read()] == [1, 2]
+        with pytest.raises(ValueError):
+            log.append([{**rows[0], "decision_id": 9}])
+        log.close()
 
 
 def test_duplicates_are_errors(spark, tmp_path):
@@ -59,14 +143,30 @@ def test_duplicates_are_errors(spark, tmp_path):
         run_stream(spark, tmp_path, [rows[:3], rows[:1]], sink=lambda b, n: b.count())
 
 
-def test_store_conflicts():
-    make = lambda w: loss_slope.Decision("r", 1, "UPDATE", 1, 5, 2, 6, w, "x")
-    store = controller.DecisionStore()
-    store.publish(make((0.5, 0.5)))
-    store.publish(make((0.5, 0.5)))
-    with pytest.raises(ValueError):
-        store.publish(make((0.4, 0.6)))
-    assert store.get("r", 2).weights == (0.5, 0.5) and store.get("r", 3) is None
+def test_deadline_holds_however_busy_the_stream(spark, tmp_path):
+    rows = samples()
+    source = tmp_path / "in"
+    write = lambda n, part: spark.createDataFrame(part, controller.SAMPLE_SCHEMA).coalesce(1).write.parquet(str(source / str(n)))
+    write(0, [rows[0], rows[4]])  # iteration 1 accepted, with one sample of four
+    stream = spark.readStream.schema(controller.SAMPLE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source / "*"))
+    out = controller.complete_iterations(stream, 4, [0, 1], deadline_ms=4000)
+    q = out.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").foreachBatch(lambda b, n: b.count()).start()
+    try:
+        until = time.monotonic() + 90
+        for n in range(1, 400):
+            if not q.isActive or time.monotonic() > until:
+                break
+            write(n, [("r", 2, None, 0, 100_000 + n, 1.0, 1)] if n <= 3 else [("other", n, None, 0, n, 1.0, 1)])
+            time.sleep(0.3)
+        assert q.exception() is not None and "incomplete 4000 ms after" in str(q.exception())
+    finally:
+        q.stop()
+
+
+def test_startup_timeout(spark, tmp_path):
+    controller.wait_ready(spark, [str(tmp_path)], 1)
+    with pytest.raises(TimeoutError):
+        controller.wait_ready(spark, [str(tmp_path / "nothing")], 0.3, 0.1)
 
 
 def test_streamed_views_and_messages(spark, tmp_path):
