@@ -7,7 +7,7 @@ as one row per task, and parents are reduced to their validity.  The merge tells
 
 * ``missing``: no parent was ever there,
 * ``deleted``: parents were there, and none is valid at the reference's time,
-* ``late``: the parent is valid but came after the reference (met, and only reported).
+* ``late``: no parent is valid at the reference's time, but one is later (met, and only reported).
 
 Only keys that some reference may violate go back to the rows, by a broadcast join while
 their counted number is within a bound and by a shuffled, skew-split join beyond it.
@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.names import same_name
 from ..session import cut, small_side
@@ -32,8 +33,20 @@ _NEVER, _ALWAYS = -(1 << 63), (1 << 63) - 1
 
 
 def parent_validity(parents: DataFrame, keys: Sequence[str], since: Column, until: Column) -> DataFrame:
-    """One row per parent key: from when and until when a parent is valid (``until`` null: no end)."""
-    return parents.groupBy(*keys).agg(F.min(since).alias("valid_from"), F.max(F.coalesce(until, F.lit(_ALWAYS))).alias("valid_until"))
+    """One row per parent key: the spells in which some parent is valid, and until when the last one is (``until`` null: no end).
+
+    Spells are disjoint and in order; parents that overlap or touch are one.  Of parents that
+    end together the one that begins first stands for all, so a key with many parents is
+    thin before its spells are put in order.  A null ``since`` is before every time, and a
+    spell that ends before all times (a deleted parent) is none.
+    """
+    ends = parents.groupBy(*keys, F.coalesce(until, F.lit(_ALWAYS)).alias("__until")).agg(F.min(F.coalesce(since, F.lit(_NEVER))).alias("__since"))
+    order = Window.partitionBy(*keys).orderBy("__since", "__until")
+    reach = F.max("__until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = ends.withColumn("__new", F.coalesce((F.col("__since") > reach).cast("int"), F.lit(0))).withColumn("__spell", F.sum("__new").over(order))
+    spells = islands.groupBy(*keys, "__spell").agg(F.min("__since").alias("since"), F.max("__until").alias("until"))
+    real = F.when(F.col("until") > F.col("since"), F.struct("since", "until"))
+    return spells.groupBy(*keys).agg(F.array_sort(F.collect_list(real)).alias("spells"), F.max("until").alias("valid_until"))
 
 
 def merge_keys(refs: DataFrame, parents: DataFrame, keys: Sequence[str], at: str = "at", within: Sequence[str] = ()) -> DataFrame:
@@ -43,12 +56,12 @@ def merge_keys(refs: DataFrame, parents: DataFrame, keys: Sequence[str], at: str
 
 
 def state(at: Column) -> Column:
-    """What a reference at a time leads to, given its key's validity."""
+    """What a reference at a time leads to, given its key's validity: a parent valid then, one that becomes valid later, or only ones that no longer are."""
     return (
         F.when(F.col("valid_until").isNull(), "missing")
         .when(F.coalesce(at >= F.col("valid_until"), F.col("valid_until") == _NEVER), "deleted")
-        .when(F.coalesce(F.col("valid_from") > at, F.lit(False)), "late")
-        .otherwise("met")
+        .when(at.isNull() | F.exists("spells", lambda s: (s["since"] <= at) & (at < s["until"])), "met")
+        .otherwise("late")
     )
 
 
@@ -56,7 +69,7 @@ def dangling(refs: DataFrame, parents: DataFrame, keys: Sequence[str], at: str =
     """The references that lead nowhere, with ``reason`` (missing or deleted); refs' other columns stay."""
     merged = merge_keys(refs.select(*keys, at), parents, keys, at)
     broken = F.col("valid_until").isNull() | (F.col("valid_until") == _NEVER) | (F.col("last_at") >= F.col("valid_until"))
-    suspects = small_side(cut(merged.where(broken).select(*[F.col(k).alias(f"__{k}") for k in keys], "valid_from", "valid_until")))
+    suspects = small_side(cut(merged.where(broken).select(*[F.col(k).alias(f"__{k}") for k in keys], "spells", "valid_until")))
     on = F.lit(True)
     for k in keys:
         on = on & refs[k].eqNullSafe(F.col(f"__{k}"))
@@ -124,14 +137,15 @@ def orphans_by_day(orphans: DataFrame) -> DataFrame:
 def states(refs: DataFrame, parents: DataFrame, keys: Sequence[str], within: Sequence[str], at: str = "at") -> DataFrame:
     """Number of references per key, further columns (which must tell null times from others) and state, each judged at its own time.
 
-    A key's state only ever goes from late by way of met to deleted, so references whose first
-    and last are in one state all are; the others go back to the rows.
+    A key of one spell only ever goes from late by way of met to deleted, so its references are
+    all in one state if the first and last are; the others go back to the rows.
     """
     rows = refs.select(*keys, *within, at)
     merged = cut(merge_keys(rows, parents, keys, at, within))
     first, last = state(F.col("first_at")), state(F.col("last_at"))
-    whole = merged.where(first == last).select(*keys, *within, last.alias("state"), "refs")
-    mixed = small_side(cut(merged.where(first != last).select(*keys, *within, "valid_from", "valid_until")))
+    plain = (first == last) & ((F.coalesce(F.size("spells"), F.lit(0)) < 2) | F.col("last_at").isNull())
+    whole = merged.where(plain).select(*keys, *within, last.alias("state"), "refs")
+    mixed = small_side(cut(merged.where(~plain).select(*keys, *within, "spells", "valid_until")))
     own = rows.join(mixed, [*keys, *within]).groupBy(*keys, *within, state(F.col(at)).alias("state"))
     return whole.unionByName(own.agg(F.count(F.lit(1)).alias("refs")))
 

@@ -491,7 +491,18 @@ def window_indicators(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("loss_slope", "indicator")})
 
 
-@query()
+@query(
+    _IND.replace("with smp", "with recursive smp", 1)
+    + """, wl as (select window_id w, list(-sl order by dataset_id) i, string_agg(case when incomplete_reason <> '' then 'dataset=' || dataset_id || ':' || incomplete_reason end, '|' order by dataset_id) br from wr group by 1),
+fold as (select 0::bigint w, [0.25::double, 0.25, 0.25, 0.25] ws, null::varchar br
+  union all
+  select w, case when br is not null then old else list_transform(q, lambda x: x / list_sum(q)) end, br from (
+    select *, list_transform(e, lambda x: 0.9 * x / list_sum(e) + 0.1 / 4) q from (
+      select *, list_transform(z, lambda x: exp(x - list_max(z))) e from (
+        select l.w, l.br, f.ws old, list_transform([0, 1, 2, 3], lambda k: ln(f.ws[k + 1]) + 0.5 * l.i[k + 1]) z from fold f join wl l on l.w = f.w + 1 where l.w < 6))))
+select 'run' run_id, w decision_id, case when br is null then 'UPDATE' else 'HOLD_INCOMPLETE' end decision_type, w source_window_id, 5 * w source_window_end_iteration, w + 1 effective_window_id, 5 * w + 1 effective_training_iteration,
+  list_transform(ws, lambda x: round(x, 6)) weights, coalesce(br, 'loss_slope') reason from fold where w > 0"""
+)
 def mixture_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """The decisions that follow, window by window."""
     indicators = loss_slope.window_indicators(loss_slope.iteration_losses(bridge.samples(spark, folder), _grid(spark, folder)), 5, 6)

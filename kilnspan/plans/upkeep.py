@@ -113,6 +113,28 @@ P3_BY_DAY = _P3 + """
 select src_table, ref, reason, cast(date '1970-01-01' + cast(received_unix_ns // 86400000000000 as integer) as date) "day", count(*) "references"
 from found group by all"""
 
+P3_STATES = f"""
+with allrows as (
+  select 'raw_scalar_float' src_table, model_id, act_name, phase, global_batch_id, attempt_id, received_unix_ns t from raw_scalar_float
+  union all select 'raw_scalar_int', model_id, act_name, phase, global_batch_id, attempt_id, received_unix_ns from raw_scalar_int),
+named as (select *, {sql_name('model_id')} model, {sql_name('act_name')} nm from allrows),
+status as (
+  select {sql_name('model_id')} model, global_batch_id, attempt_id, bool_or(deleted_unix_ns is null) live,
+    min(case when deleted_unix_ns is null then coalesce(received_unix_ns, -9223372036854775807) end) since from raw_scalar_int
+  where {sql_name('act_name')} = 'iteration_attempt_status' and direction = 'iter' and phase = 'train' and invocation_id = 0 and dataset_id = -1 group by 1, 2, 3),
+names as (select {sql_name('act_name')} nm, coalesce(added_unix_ns, -9223372036854775807) since, coalesce(removed_unix_ns, 9223372036854775807) until from act_catalog),
+told as (
+  select src_table, 'attempt' ref, t, concat_ws('/', n.model, n.global_batch_id, n.attempt_id) k,
+    case when s.live is null then 'missing' when not s.live then 'deleted' when t < s.since then 'late' else 'met' end state
+  from named n left join status s on n.model = s.model and n.global_batch_id = s.global_batch_id and n.attempt_id = s.attempt_id
+  where phase = 'train' and n.global_batch_id is distinct from 0 and n.attempt_id is not null and nm is distinct from 'iteration_attempt_status'
+  union all
+  select src_table, 'act_name', t, n.nm,
+    case when c.u is null then 'missing' when t >= c.u then 'deleted' when t is null or exists (select 1 from names x where x.nm = n.nm and x.since <= t and t < x.until) then 'met' else 'late' end
+  from named n left join (select nm, max(until) u from names group by 1) c on n.nm = c.nm)
+select src_table, ref, state, cast(date '1970-01-01' + cast(t // 86400000000000 as integer) as date) "day", count(distinct coalesce(k, '')) "keys", count(*)::bigint "references"
+from told group by 1, 2, 3, 4"""
+
 _P4 = """
 with timed as (
   select *, case when processed_at_unix_ns > 0 then processed_at_unix_ns::hugeint *
@@ -157,4 +179,4 @@ select row_id from (
       layer_no, shard_rank, token_start, token_end, attempt_id, invocation_id order by row_id nulls last) n
   from raw_scalar_float) where n > 1"""
 
-SQL = {"p3_found": P3_FOUND, "p3_by_day": P3_BY_DAY, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS, "p4_provisional": P4_PROVISIONAL, "p4_served": P4_COUNTS, "p5_found": P5_FOUND, "p5_batches": P5_BATCHES}
+SQL = {"p3_found": P3_FOUND, "p3_by_day": P3_BY_DAY, "p3_states": P3_STATES, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS, "p4_provisional": P4_PROVISIONAL, "p4_served": P4_COUNTS, "p5_found": P5_FOUND, "p5_batches": P5_BATCHES}

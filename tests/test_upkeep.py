@@ -70,6 +70,17 @@ def test_states_at_each_reference_s_own_time(spark):
     }
 
 
+def test_states_between_two_spells(spark):
+    """A name that was removed and added again: in the gap it is late, and never counts as dangling."""
+    catalog = [("back", 1, 10, ""), ("back", 20, None, ""), ("back", 22, 30, ""), ("gone", 1, 10, ""), ("gone", 5, 12, ""), ("gone", 12, 14, ""), ("never", 9, 3, "")]
+    floats = [raw(i, gid=0, act=a, at=t) for i, (a, t) in enumerate([("back", 0), ("back", 5), ("back", 15), ("back", 25), ("back", None), ("gone", 13), ("gone", 14), ("gone", 11), ("never", 2), ("never", 5)])]
+    got = {}
+    for (_, _, state, _), (_, n) in states_of(spark, floats, [], catalog).items():
+        got[state] = got.get(state, 0) + n
+    assert got == {"late": 3, "met": 5, "deleted": 2}
+    assert found(spark, floats, [], catalog) == {("float", 6, "act_name", "deleted"), ("float", 9, "act_name", "deleted")}
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_states_by_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
