@@ -8,8 +8,11 @@ prefix-summed table of all its changes, with which the offsets are merged).  Row
 range-sorted by that position.  A source whose demand exceeds its tokens is passed over
 again, at most ``max_repeats`` times in all.
 
-Windows already drawn are judged by counts alone: over a window's positions the schedule is
-constant, so a source's count of positions is held against its normalised weight.
+Windows already drawn are judged by the same means (:func:`judge_windows`): laid end to end, a
+run's windows are its schedule over positions; it is integrated to each source's cumulative
+demand, and the demand inverted at the draws of each window tells by how many positions a
+source is ahead or behind.  What comes near the tolerance is then checked exactly, against
+the normalised weight.
 
 Defined results: weights are usable when there are exactly as many as sources, all finite,
 none null or negative; with no usable weights all sources weigh the same.  Rows of null,
@@ -20,6 +23,8 @@ that sum to 0 give no target share.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,45 +65,79 @@ def shares(weights: Column) -> Column:
 def judge_windows(windows: DataFrame, decisions: DataFrame, sources: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Faults of drawn windows: (run_id, window_id, dataset_id, fault), distinct.
 
-    Arrays are reduced to counts inside their row before anything is shuffled.
+    Arrays are reduced to counts inside their row before anything is shuffled; expressions
+    are as large for many sources as for few.
     """
     src = sources_of(sources)
     n, ids = len(src), [s["dataset_id"] for s in src]
     if not src:
         return windows.select("run_id", "window_id", F.lit(None).cast("int").alias("dataset_id"), F.lit(None).cast("string").alias("fault")).where("false")
-    null = F.lit(None).cast("bigint")
-    lookup = lambda field, d: F.element_at(F.create_map(*[x for s in src for x in (F.lit(s["dataset_id"]), F.lit(s[field]).cast("bigint"))]), d)
-    drawn = F.filter(F.arrays_zip(F.col("dataset_index").alias("d"), F.col("dataset_sample_index").alias("s")), lambda x: x["d"].isin(ids))
-    record = F.transform(
-        drawn, lambda x: F.struct(x["d"].alias("d"), F.when(lookup("record_count", x["d"]) > 0, F.pmod(x["s"], lookup("record_count", x["d"]))).otherwise(null).alias("r"))
-    )
-    rows = windows.select(
-        "run_id",
-        "window_id",
-        "decision_id",
-        F.when(usable(F.col("weights"), n), F.col("weights")).alias("weights"),
-        F.array_sort(record).alias("drawn"),
-    )
+    table = F.create_map(*[x for s in src for x in (F.lit(s["dataset_id"]), F.struct(F.lit(s["record_count"]).cast("bigint").alias("records"), F.lit(s["max_repeats"]).cast("int").alias("cap")))])
+    of = lambda d: F.element_at(table, d)
+    pairs = F.filter(F.arrays_zip(F.col("dataset_index").alias("d"), F.col("dataset_sample_index").alias("s")), lambda x: x["d"].isin(ids))
+    record = F.transform(pairs, lambda x: F.struct(x["d"].alias("d"), F.when(of(x["d"])["records"] > 0, F.pmod(x["s"], of(x["d"])["records"])).alias("r")))
+    rows = windows.select("run_id", "window_id", "decision_id", F.when(usable(F.col("weights"), n), F.col("weights")).alias("weights"), F.array_sort(record).alias("drawn"))
     # In sorted order, a record drawn more than m times equals the one m places further on.
-    again = lambda x, i: F.when(x["r"].isNotNull() & (F.get("drawn", i + lookup("max_repeats", x["d"]).cast("int")) == x), x["d"])
-    count_of = lambda d: F.size(F.filter("drawn", lambda x: x["d"] == d))
+    again = lambda x, i: F.when(x["r"].isNotNull() & (F.get("drawn", i + of(x["d"])["cap"]) == x), x["d"])
+    # ... and a source's draws are neighbours: its count is the way to the next source's first.
+    places = F.when(F.size("drawn") > 0, F.sequence(F.lit(0), F.size("drawn") - 1)).otherwise(F.array().cast("array<int>"))
+    firsts = F.filter(places, lambda i: (i == 0) | (F.get("drawn", i)["d"] != F.get("drawn", i - 1)["d"]))
+    rows = rows.withColumn("firsts", firsts)
+    counted = F.map_from_entries(F.transform("firsts", lambda i, j: F.struct(F.get("drawn", i)["d"], F.coalesce(F.get("firsts", j + 1), F.size("drawn")) - i)))
+    rows = rows.withColumn("counted", counted)
     compact = rows.select(
         "run_id",
         "window_id",
         "decision_id",
         "weights",
         F.size("drawn").alias("positions"),
-        F.array(*map(count_of, ids)).alias("counts"),
+        F.transform(F.array(*map(F.lit, ids)), lambda d: F.coalesce(F.element_at("counted", d), F.lit(0))).alias("counts"),
         F.array_distinct(F.filter(F.transform("drawn", again), lambda d: d.isNotNull())).alias("repeated"),
     )
     latest = decisions.groupBy("run_id", "decision_id").agg(F.max_by("weights", F.coalesce("produced_at_unix_ns", F.lit(0))).alias("decided"))
     decided = latest.where(usable(F.col("decided"), n))
-    judged = compact.join(decided, ["run_id", "decision_id"], "left").withColumn("target", shares(F.coalesce("weights", "decided")))
-    off = lambda i: F.abs(F.try_divide(F.get("counts", F.lit(i)).cast("double"), F.col("positions").cast("double")) - F.get("target", F.lit(i))) > tolerance
-    share_faults = F.filter(F.array(*[F.when(off(i), F.lit(d)) for i, d in enumerate(ids)]), lambda d: d.isNotNull())
-    fault = lambda name: lambda d: F.struct(d.alias("dataset_id"), F.lit(name).alias("fault"))
-    faults = F.concat(F.transform(share_faults, fault("share")), F.transform("repeated", fault("repeats")))
-    return judged.select("run_id", "window_id", F.inline(faults)).distinct()
+    judged = cut(compact.join(decided, ["run_id", "decision_id"], "left").withColumn("target", shares(F.coalesce("weights", "decided"))).drop("weights", "decided"))
+    repeats = judged.select("run_id", "window_id", F.explode("repeated").alias("dataset_id"), F.lit("repeats").alias("fault"))
+    off = _off_demand(judged, tolerance)
+    share = off.select("run_id", "window_id", F.element_at(F.array(*map(F.lit, ids)), F.col("i") + 1).alias("dataset_id"), F.lit("share").alias("fault"))
+    return repeats.unionByName(share).distinct()
+
+
+def _off_demand(judged: DataFrame, tolerance: float) -> DataFrame:
+    """(run_id, window_id, i): sources whose draws in a window are off the demand by more than a tolerance of its positions."""
+    each = F.posexplode(F.arrays_zip(F.col("counts").alias("drawn"), F.col("target").alias("share"))).alias("i", "x")
+    spans = judged.where("positions > 0 and target is not null").select("run_id", "window_id", "positions", each)
+    spans = spans.select("run_id", "window_id", "i", "positions", F.col("x.drawn").alias("drawn"), F.col("x.share").alias("share")).where("share is not null")
+    spans = spans.withColumns({"part": (F.col("share") * F.col("positions")).cast("decimal(28,12)"), "length": F.col("positions").cast("decimal(28,12)")})
+    laid = cumulated(spans, ["run_id", "i"], "window_id", {"part": "c", "length": "t"})
+    reached = invert(F.col("c0") + F.col("drawn"), *(F.col(x) for x in ("c0", "c1", "t0", "t1")))
+    ahead = F.when(F.col("c1") > F.col("c0"), (reached - F.col("t1")) * (F.col("c1") - F.col("c0")) / (F.col("t1") - F.col("t0"))).otherwise(F.col("drawn").cast("double"))
+    near = laid.where(F.abs(ahead) > (tolerance - 1e-6) * F.col("positions"))
+    exact = F.abs(F.col("drawn").cast("double") / F.col("positions").cast("double") - F.col("share")) > tolerance
+    return near.where(exact).select("run_id", "window_id", "i")
+
+
+def invert(x: Column, c0: Column, c1: Column, t0: Column, t1: Column) -> Column:
+    """The time at which a demand that grows in a straight line from (t0, c0) to (t1, c1) reaches x (t0 where it doesn't grow)."""
+    return t0 + F.coalesce(F.try_divide(x - c0, c1 - c0), F.lit(0.0)) * (t1 - t0)
+
+
+def cumulated(parts: DataFrame, by: Sequence[str], at: str, columns: Mapping[str, str]) -> DataFrame:
+    """Running sums of decimal columns in the order of ``at`` within ``by``: name -> prefix gives prefix0 (before the row) and prefix1 (with it), in double.
+
+    In two levels, ranges of ``at`` and rows within a range, so no group is one task's work.
+    """
+    ranges = max(1, -(-parts.count() // BLOCK_ROWS))
+    spread = cut(parts.repartitionByRange(ranges, at).withColumn("__range", F.spark_partition_id())) if ranges > 1 else parts.withColumn("__range", F.lit(0))
+    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    sums = sums.select(*by, "__range", *[F.coalesce(F.sum(f"__{c}").over(upto), F.lit(0)).alias(f"__{c}") for c in columns])
+    within = Window.partitionBy(*by, "__range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    run = spread.select("*", *[F.sum(c).over(within).alias(f"__w_{c}") for c in columns])
+    both = run.join(sums, [*by, "__range"]) if ranges > 1 else run.withColumns({f"__{c}": F.lit(0) for c in columns})
+    ends = {f"{prefix}1": (F.col(f"__{c}") + F.col(f"__w_{c}")).cast("double") for c, prefix in columns.items()}
+    starts = {f"{prefix}0": (F.col(f"__{c}") + F.col(f"__w_{c}") - F.col(c)).cast("double") for c, prefix in columns.items()}
+    return both.withColumns(starts | ends).drop("__range", *[f"__{c}" for c in columns], *[f"__w_{c}" for c in columns])
 
 
 # ---------------------------------------------------------------- a mix along the curriculum
@@ -150,12 +189,9 @@ def demand_segments(decisions: DataFrame, n: int) -> DataFrame:
     rate = F.when(F.col("n") + F.col("n_base") > 0, (F.col("w") + F.col("w_base")).cast("double") / (F.col("n") + F.col("n_base"))).otherwise(F.col("mean"))
     parts = cut(holding.select("i", "__range", "t", "u", (rate * (F.col("u") - F.col("t")) / F.lit(length)).cast("decimal(28,24)").alias("part")))
 
-    sums = parts.groupBy("i", "__range").agg(F.sum("part").alias("part"))
-    sums = sums.select("i", "__range", F.coalesce(F.sum("part").over(upto), F.lit(0)).alias("base"))
-    upon = parts.select("*", F.sum("part").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).where("part > 0").join(sums, ["i", "__range"])
     at = lambda t: (F.col(t) - F.lit(low)) / F.lit(length)
-    c1 = F.col("base") + F.col("c")
-    return cut(upon.select("i", at("t").alias("t0"), at("u").alias("t1"), (c1 - F.col("part")).cast("double").alias("c0"), c1.cast("double").alias("c1")))
+    upon = cumulated(parts.drop("__range"), ["i"], "t", {"part": "c"}).where("part > 0")
+    return cut(upon.select("i", at("t").alias("t0"), at("u").alias("t1"), "c0", "c1"))
 
 
 def place(drawn: DataFrame, segments: DataFrame) -> DataFrame:
@@ -172,7 +208,7 @@ def place(drawn: DataFrame, segments: DataFrame) -> DataFrame:
     order = Window.partitionBy("dataset_id", "__bin").orderBy("x", F.col("__row").asc_nulls_first(), "__segment.c1").rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("__segment", F.last("__segment", ignorenulls=True).over(order)).where("__row")
     c1, c0, t0, t1 = (F.col(f"__segment.{f}") for f in ("c1", "c0", "t0", "t1"))
-    return met.withColumn("position", F.least(t1, t0 + F.coalesce(F.try_divide(F.col("x") - c0, c1 - c0), F.lit(0.0)) * (t1 - t0)))
+    return met.withColumn("position", F.least(t1, invert(F.col("x"), c0, c1, t0, t1)))
 
 
 def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "row_id", size: str = "target_token_count", total_tokens: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut
 from . import bpe, mixing, multiselect, packing, residue
@@ -33,6 +34,24 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p1_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix asks of each dataset, and whether it keeps it: its share of the schedule, its tokens, no more repeats than allowed, and as many tokens as wanted to within one row."""
+    rows, sources = _read(spark, folder, "loss_slope_iteration_metrics"), _read(spark, folder, "mixture_sources")
+    shares = cut(_mix(spark, folder)[1])
+    caps = sources.groupBy("dataset_id").agg(F.min("max_repeats").alias("max_repeats"))
+    largest = rows.groupBy("dataset_id").agg(F.max("target_token_count").alias("largest"))
+    # All sources keep their shares, so the one with the least room for its share sets the size of the mix.
+    told = shares.join(F.broadcast(caps), "dataset_id").join(F.broadcast(largest), "dataset_id", "left")
+    size = told.where("target_share > 0").agg(F.min(F.col("pool_tokens") * F.col("max_repeats") / F.col("target_share")).alias("size"))
+    return told.crossJoin(F.broadcast(size)).select(
+        "dataset_id",
+        F.round("target_share", 6).alias("target_share"),
+        "pool_tokens",
+        (F.col("repeats") <= F.col("max_repeats")).alias("within_cap"),
+        F.coalesce(F.abs(F.col("tokens") - F.col("target_share") * F.col("size")) <= F.col("largest") + 1, F.col("tokens") == 0).alias("as_wanted"),
+    )
+
+
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of the alignments per layer, and per layer and day, with rank error 0."""
     return multiselect.percentiles(_read(spark, folder, "expert_contribution"), ALIGNMENTS, "global_moe_layer", "report_day")
@@ -69,4 +88,4 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(_read(spark, folder, "documents")).select("doc_id", "source", "lang", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_percentiles, p2_combined, p6_ids, p7_pack, p7_fill, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p1_targets, p2_percentiles, p2_combined, p6_ids, p7_pack, p7_fill, p8_found, p8_clean)}

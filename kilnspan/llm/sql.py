@@ -45,4 +45,42 @@ select global_moe_layer, report_day, all_parts, metric, n, 0::integer rank_error
 from ranked group by all
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_percentiles": P2_PERCENTILES}
+P2_COMBINED = """
+with long as (
+  select global_moe_layer, report_day, unnest([
+    {'metric': 'top_route_alignment_q1', 'v': top_route_alignment_q1},
+    {'metric': 'top_route_alignment_median', 'v': top_route_alignment_median},
+    {'metric': 'top_route_alignment_q3', 'v': top_route_alignment_q3}], recursive := true)
+  from expert_contribution),
+ranked as (select *, row_number() over g r, count(*) over (partition by global_moe_layer, report_day, metric) n
+  from long where v between -1 and 1 window g as (partition by global_moe_layer, report_day, metric order by v)),
+days as (select distinct global_moe_layer, report_day, metric, n from ranked),
+points as (select *, (i * n + 63) // 64 k, (i * n + 63) // 64 - ((i - 1) * n + 63) // 64 w from (select *, unnest(range(1, 65)) i from days)),
+picked as (select p.global_moe_layer, p.metric, p.w, r.v from points p join ranked r
+  on p.global_moe_layer is not distinct from r.global_moe_layer and p.report_day is not distinct from r.report_day and p.metric = r.metric and r.r = greatest(1, p.k)),
+total as (select global_moe_layer, metric, sum(n)::bigint n, sum((n + 63) // 64 + 1)::bigint rank_error from days group by 1, 2),
+run as (select global_moe_layer, metric, v, sum(sum(w)) over (partition by global_moe_layer, metric order by v) upto from picked group by 1, 2, 3)
+select t.global_moe_layer, t.metric, n, rank_error,
+  min(case when upto >= (25 * n + 99) // 100 then v end) p25, min(case when upto >= (50 * n + 99) // 100 then v end) p50,
+  min(case when upto >= (75 * n + 99) // 100 then v end) p75, min(case when upto >= (99 * n + 99) // 100 then v end) p99
+from total t join run r on t.global_moe_layer is not distinct from r.global_moe_layer and t.metric = r.metric group by all
+"""
+
+P1_TARGETS = """
+with src as (select dataset_id, min(max_repeats) mr from mixture_sources where dataset_id is not null group by 1),
+ids as (select *, row_number() over (order by dataset_id) i from src),
+fit as (select run_id, effective_training_iteration a, arg_max(weights, (produced_at_unix_ns, decision_id)) w from loss_slope_mixture_decisions
+  where effective_training_iteration is not null and len(weights) = (select count(*) from src) and len(list_filter(weights, lambda x: x is null or not isfinite(x) or x < 0)) = 0 group by 1, 2),
+span as (select a, coalesce(lead(a) over o, a + coalesce(a - lag(a) over o, 1)) b, w from fit window o as (partition by run_id order by a)),
+held as (select a, b, list_transform(w, lambda x: x / list_sum(w)) w from span where list_sum(w) > 0),
+turn as (select distinct t from (select a t from held union all select b from held)),
+part as (select * from (select t, lead(t) over (order by t) u from turn) where u is not null),
+mean as (select ids.i, sum(w[ids.i] * (b - a)) / sum(b - a) m from held, ids group by 1),
+rate as (select part.t, part.u, ids.i, coalesce(avg(held.w[ids.i]), any_value(mean.m)) r
+  from part cross join ids join mean on mean.i = ids.i left join held on held.a <= part.t and part.u <= held.b group by 1, 2, 3),
+share as (select i, sum(r * (u - t)) / (select max(t) - min(t) from turn) s from rate group by 1)
+select ids.dataset_id, round(s, 6) target_share, coalesce(sum(target_token_count) filter (target_token_count > 0), 0)::bigint pool_tokens, true within_cap, true as_wanted
+from ids join share on share.i = ids.i left join loss_slope_iteration_metrics m on m.dataset_id = ids.dataset_id group by 1, s
+"""
+
+SQL = {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p2_percentiles": P2_PERCENTILES, "p2_combined": P2_COMBINED}
