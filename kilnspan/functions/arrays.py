@@ -174,7 +174,3 @@ def updated_mixture(weights: Column, indicators: Column, eta: Column, smoothing:
     logits = F.zip_with(weights, indicators, lambda w, i: F.ln(w) + eta * i)
     return F.transform(softmax(logits), lambda a: (1.0 - smoothing) * a + smoothing / F.size(weights))
 
-
-def linear_percentiles(x: Column, fractions: list[float]) -> Column:
-    """Exact percentiles with linear interpolation (an aggregate)."""
-    return F.percentile(x, F.array(*map(F.lit, fractions)))

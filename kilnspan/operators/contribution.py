@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import DataError
-from ..functions.arrays import cosine, linear_percentiles, norm
+from ..functions.arrays import cosine, norm
+from .ranks import linear_percentiles
 
 COLUMNS = (
     "global_moe_layer", "valid_token_count", "magnitude_tie_token_count", "router_rank_dominance_counts",
@@ -56,11 +57,11 @@ def contribution_report(tokens: DataFrame, layer: str = "layer_no", strict: bool
         F.count(F.lit(1)).alias("valid_token_count"),
         F.count_if(~F.col("unique_magnitude")).alias("magnitude_tie_token_count"),
         F.count_if(~F.col("unique_top")).alias("top_weight_tie_token_count"),
-        linear_percentiles(F.col("alignment"), [0.25, 0.5, 0.75]).alias("q"),
         F.max("top_k").alias("top_k"),
     )
     dense = F.transform(F.sequence(F.lit(0), F.col("top_k") - 1), lambda r: F.coalesce(F.element_at("m", r), F.lit(0)).cast("bigint"))
-    return sums.join(counts, layer, "left").select(
+    quartiles = linear_percentiles(m.select(layer, "alignment"), [layer], "alignment", [0.25, 0.5, 0.75])
+    return sums.join(counts, layer, "left").join(quartiles, layer, "left").select(
         F.col(layer).alias("global_moe_layer"),
         "valid_token_count",
         "magnitude_tie_token_count",

@@ -99,7 +99,8 @@ def main(argv: list[str] | None = None) -> dict[str, int]:
     shape = {"layers": a.layers, "experts": a.experts, "hidden": a.hidden} if a.experts else None
     tables = derive(read("raw_scalar_float"), read("raw_scalar_int"), a.model_id, a.run_name, a.expected_iterations, read("raw") if shape else None, shape, a.window)
     sinks.create_tables(spark, a.out, list(tables), a.drop)
-    written = {t: sinks.replace_run(df, a.out, t) for t, df in tables.items()}
+    run = {"model_id": a.model_id, "run_name": a.run_name, "phase": a.phase}
+    written = {t: sinks.replace_run(df, a.out, t, run) for t, df in tables.items()}
     print(json.dumps(written, sort_keys=True))
     return written
 

@@ -16,7 +16,7 @@ from ..sources import jsonl, tensors
 
 def bound(spark: SparkSession, patterns: list[str]) -> dict:
     """Most conversations in a row over files of JSON lines, and where first."""
-    lines = jsonl.read_lines(spark, jsonl.input_paths(patterns))
+    lines = jsonl.read_lines(spark, jsonl.input_paths(spark, patterns))
     roles = lines.select("file", "line", F.transform("record.messages", lambda m: m["role"]).alias("roles"))
     return segments.conversation_bound(roles).where("file is null").first().asDict()
 

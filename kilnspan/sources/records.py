@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Sequence
 
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.attempts import accepted_attempts, represented_iterations, require_status, resolve, status_rows, visible
 from ..schema import COORDINATES, KEY, TABLES, require_schema
+from ..session import exists
 
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def require_identifier(name: str) -> str:
@@ -48,7 +48,7 @@ class TrainingReader:
         found = {}
         for layout in ("raw", "raw_scalar_float", "raw_scalar_int", "raw_eval_phase_boundary"):
             path = f"{folder}/{layout.replace('raw', base, 1)}.parquet"
-            if os.path.exists(path):
+            if exists(spark, path):
                 found[layout] = spark.read.parquet(path)
         return cls(found, validate)
 

@@ -10,7 +10,7 @@ from ..functions.arrays import decode_tensor
 from ..operators.asof import latest_before
 from ..operators.attempts import visible
 from ..operators.reconstruct import ACTS
-from ..schema import KEY, STATUS_IDENTITY
+from ..schema import STATUS_IDENTITY
 
 PRE, POST, PROBS, WEIGHTS = "pre_drop_token_count", "post_drop_token_count", "router_probs_mean", "router_projection_weight"
 
@@ -84,8 +84,3 @@ def primary_forward(raw: DataFrame, accepted: DataFrame) -> dict[str, DataFrame]
         "maps": one(maps).withColumn("flat_map", flat),
         "packed": matrices(one(packed)).withColumnRenamed("matrix", "rows"),
     }
-
-
-def in_key_order(rows: DataFrame) -> DataFrame:
-    """Rows by the 14 key columns."""
-    return rows.orderBy(*KEY)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnspan import checks
 from kilnspan.functions import arrays
-from kilnspan.operators import asof, attempts, contribution, experts, lineage, logs, loss_slope, pathways, reconstruct, router, scalars, segments, topology, transports
+from kilnspan.operators import asof, attempts, contribution, experts, lineage, logs, loss_slope, pathways, ranks, reconstruct, router, scalars, segments, topology, transports
 from kilnspan.schema import COORDINATES, STATUS_IDENTITY, SchemaMismatch, require_schema
 from kilnspan.sources import jsonl, records, sinks
 
@@ -110,7 +110,7 @@ def test_arrays(spark):
     assert get(arrays.top_k(lit(1, 5, 5, 2), 3)[1]) == [1, 2, 3]
     with pytest.raises(ValueError):
         arrays.top_k(lit(1), True)
-    assert one.select(F.explode(lit(1, 2, 4, 8)).alias("v")).agg(arrays.linear_percentiles(F.col("v"), [0.25, 0.5, 0.75])).first()[0] == [1.75, 3.0, 5.0]
+    assert ranks.linear_percentiles(one.select(F.lit(1).alias("g"), F.explode(lit(1, 2, 4, 8)).alias("v")), ["g"], "v", [0.25, 0.5, 0.75]).first().q == [1.75, 3.0, 5.0]
     new = get(arrays.updated_mixture(lit(0.5, 0.5), lit(0.1, 0.4), F.lit(2.0), F.lit(0.5)))
     z = [0.5 * math.exp(0.2), 0.5 * math.exp(0.8)]
     assert new == pytest.approx([0.5 * x / sum(z) + 0.25 for x in z])
@@ -290,7 +290,7 @@ def test_conversations(spark, tmp_path):
     three = '{"messages": [' + ", ".join('{"role": "system", "content": "s"}' for _ in range(3)) + "]}"
     (tmp_path / "a.jsonl").write_text(one + "\n" + one + "\n")
     (tmp_path / "b.jsonl").write_text(three + "\n")
-    lines = jsonl.read_lines(spark, jsonl.input_paths([str(tmp_path / "*.jsonl")]))
+    lines = jsonl.read_lines(spark, jsonl.input_paths(spark, [str(tmp_path / "*.jsonl")]))
     roles_of = lines.select("file", "line", F.transform("record.messages", lambda m: m["role"]).alias("roles"))
     whole = segments.conversation_bound(roles_of).where("file is null").first()
     assert (whole.rows, whole.max_conversations, whole.first_line) == (3, 3, 1) and whole.first_file.endswith("b.jsonl")
@@ -420,6 +420,35 @@ def test_logs(spark):
     assert logs.markdown_table([{"a": 1, "b": 0.5}]).splitlines()[2] == "| 1 | 0.5000 |"
 
 
+def test_percentiles_of_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([0.5, 0.5, 0.5, rng.random(), None])) for _ in range(500)] + [(3, 0.25)] * 40 + [(4, None)]
+    got = {r.g: r.q for r in ranks.linear_percentiles(spark.createDataFrame(rows, "g int, v double").repartition(7), ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        vs = sorted(v for h, v in rows if h == g and v is not None)
+        if vs:
+            want[g] = [vs[int(x)] + (x - int(x)) * (vs[min(int(x) + 1, len(vs) - 1)] - vs[int(x)]) for x in (f * (len(vs) - 1) for f in (0.0, 0.25, 0.5, 0.99, 1.0))]
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert ranks.linear_percentiles(spark.createDataFrame([], "g int, v double"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_lines_of_files_read_in_blocks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        for name, n in (("a", 60), ("b", 1), ("c", 200)):
+            (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"messages": [{{"role": "r{i}", "content": "{"x" * (i % 37)}"}}]}}' for i in range(1, n + 1)) + ("\n" if name != "b" else ""))
+        lines = jsonl.read_lines(spark, jsonl.input_paths(spark, [str(tmp_path / "*.jsonl")]))
+        got = {(r.file.rsplit("/", 1)[1], r.line, r.record.messages[0].role) for r in lines.collect()}
+        assert got == {(f"{name}.jsonl", i, f"r{i}") for name, n in (("a", 60), ("b", 1), ("c", 200)) for i in range(1, n + 1)}
+        assert spark.read.text(str(tmp_path / "c.jsonl")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(FileNotFoundError):
+        jsonl.input_paths(spark, [str(tmp_path / "*.nothing")])
+
+
 def test_lineage(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 6, 9), ("b", 2, 5), ("c", 1, 3), ("c", 5, 6)], "run_id string, valid_start bigint, valid_end bigint")
     assert {r.run_id for r in lineage.lineage_gaps(df).collect()} == {"b", "c"}
@@ -433,9 +462,14 @@ def test_sinks(spark, tmp_path):
     make = lambda model, n, v: spark.createDataFrame([(model, "r", "train", i, i, "x", v) for i in range(n)], "model_id string, run_name string, phase string, training_iteration_id bigint, global_batch_id bigint, metric_name string, metric_value double")
     folder = str(tmp_path)
     sinks.create_tables(spark, folder, ["training_scalar"])
-    assert sinks.replace_run(make("a", 3, 1.0), folder, "training_scalar") == 3
-    assert sinks.replace_run(make("b", 2, 1.0), folder, "training_scalar") == 2
-    assert sinks.replace_run(make("a", 1, 2.0), folder, "training_scalar") == 1
+    run = lambda model: {"model_id": model, "run_name": "r", "phase": "train"}
+    assert sinks.replace_run(make("a", 3, 1.0), folder, "training_scalar", run("a")) == 3
+    assert sinks.replace_run(make("b", 2, 1.0), folder, "training_scalar", run("b")) == 2
+    assert sinks.replace_run(make("a", 1, 2.0), folder, "training_scalar", run("a")) == 1
+    assert sinks.replace_run(make("x/y=z", 2, 2.0), folder, "training_scalar", run("x/y=z")) == 2
+    assert sinks.replace_run(make("x/y=z", 0, 2.0), folder, "training_scalar", run("x/y=z")) == 0  # a run without rows has none left
+    with pytest.raises(checks.DataError, match="not of the run"):
+        sinks.replace_run(make("a", 1, 2.0), folder, "training_scalar", run("b"))
     back = spark.read.parquet(f"{folder}/training_scalar")
     assert {(r.model_id, r.metric_value) for r in back.collect()} == {("a", 2.0), ("b", 1.0)} and back.count() == 3
     jsonl.export(make("a", 5, 1.0), f"{folder}/dump", ["training_iteration_id"], 2)
