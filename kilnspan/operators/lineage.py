@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,38 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def json_digest(value: Column) -> Column:
+    """The same of a column of whole numbers, booleans, strings or lists of them, whose JSON is canonical as Spark writes it."""
+    return F.sha2(F.to_json(value), 256)
+
+
+def resume_faults(states: DataFrame, global_batch: int, by: list[str]) -> DataFrame:
+    """(by, iteration, fault): checkpoints that must not be resumed from.
+
+    ``states``: one row per rank with the two states as canonical JSON and the hashes stored
+    with them, the samples consumed, the iteration through which records are durable, and
+    the hash of the rank's capture state.
+    """
+    broken = {
+        "dataset state hash": F.sha2("dataset_state", 256) != F.col("dataset_sha256"),
+        "controller state hash": F.sha2("controller_state", 256) != F.col("controller_sha256"),
+        "consumed samples": F.col("consumed") != F.col("iteration") * global_batch,
+        "not durable": F.col("durable_through") != F.col("iteration"),
+    }
+    whole = states.groupBy(*by, "iteration").agg(
+        *[F.bool_or(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in broken.items()],
+        (F.count_distinct(F.coalesce("capture_sha256", F.lit(""))) > 1).alias("ranks differ"),
+    )
+    names = F.array(*[F.when(F.col(f"`{name}`"), F.lit(name)) for name in (*broken, "ranks differ")])
+    return whole.select(*by, "iteration", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("fault"))
+
+
+def salvage_record(iteration: int, failure: BaseException, last_exact: tuple[int, str] | None, parent: dict | None) -> dict:
+    """What is noted beside a model that was saved although no exact checkpoint could be made."""
+    reached, path = last_exact or (None, None)
+    return {"exact_resume": False, "reason": f"{type(failure).__name__}: {failure}", "failed_iteration": iteration, "last_exact_iteration": reached, "last_exact_path": path, "parent": parent}
+
+
 def file_digest(path: str | Path) -> str:
     """SHA-256 of a file, read in pieces."""
     h = hashlib.sha256()

@@ -70,6 +70,12 @@ def overhead(runs: DataFrame, pair: list[str], repetition: str = "repetition", s
     return ratio.groupBy(*pair).agg(F.count("ratio").alias("repetitions"), F.avg("ratio").alias("mean_overhead"), F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("overhead_deviation"))
 
 
+def throughputs(runs: DataFrame, seq_length: int) -> DataFrame:
+    """Add samples and tokens per second to rows with samples and seconds; null where no time was taken."""
+    rate = F.try_divide(F.col("samples").cast("double"), F.col("seconds").cast("double"))
+    return runs.withColumn("samples_per_second", rate).withColumn("tokens_per_second", rate * seq_length)
+
+
 def throughput(global_batch: int, iterations: int, seq_length: int, seconds: float) -> dict[str, float]:
     """Samples and tokens per second."""
     samples = global_batch * iterations

@@ -230,11 +230,15 @@ def decisions_for_windows(decisions: DataFrame, windows: DataFrame) -> DataFrame
     return windows.join(made, ["run_id", "window_id"])
 
 
-def sample_lookup(indices: DataFrame, windows: DataFrame, samples_per_window: int, lengths: Sequence[int]) -> DataFrame:
-    """Absolute sample indices -> (window, dataset, record): index // size + 1, then the window's draw, modulo the dataset's length."""
+def sample_lookup(indices: DataFrame, windows: DataFrame, samples_per_window: int, lengths: Sequence[int], strict: bool = True) -> DataFrame:
+    """Absolute sample indices -> (window, dataset, record): index // size + 1, then the window's draw, modulo the dataset's length.
+
+    A dataset without a length is an error, or gives no record if not strict.
+    """
     placed = indices.withColumn("window_id", F.expr(f"index div {samples_per_window}") + 1).withColumn("pos", (F.col("index") % samples_per_window).cast("int"))
     drawn = drawn_samples(windows)
-    size = F.element_at(F.array(*map(F.lit, lengths)), F.col("dataset_id") + 1)
+    sizes = F.array(*map(F.lit, lengths))
+    size = F.element_at(sizes, F.col("dataset_id") + 1) if strict else F.when(F.col("dataset_id") >= 0, F.get(sizes, F.col("dataset_id")))
     return placed.join(drawn, ["window_id", "pos"]).withColumn("record", F.pmod(F.col("sample"), size))
 
 

@@ -27,6 +27,13 @@ def pair_losses(losses: DataFrame, counts: DataFrame, keys: Sequence[str] = SAMP
     return left.join(right, keys)
 
 
+def dataset_mismatches(losses: DataFrame, counts: DataFrame, keys: Sequence[str] = SAMPLE_KEY) -> DataFrame:
+    """Samples whose two sides agree on their place (the keys but dataset_id) and not on their dataset; online, any such is an error."""
+    place = [k for k in keys if k not in ("dataset_id", "layer_no", "shard_rank", "token_start", "token_end")]
+    both = losses.select(*place, "dataset_id").join(counts.select(*place, F.col("dataset_id").alias("count_dataset_id")), place)
+    return both.where(~F.col("dataset_id").eqNullSafe(F.col("count_dataset_id")))
+
+
 def weighted_loss(pairs: DataFrame, by: Sequence[str] = ("model_id", "phase", "global_batch_id"), strict: bool = True) -> DataFrame:
     """(by, metric_value): the token-weighted mean loss; an iteration without tokens is an error, or null if not strict."""
     sums = pairs.groupBy(*by).agg(F.sum(F.col("loss") * F.col("tokens")).alias("s"), F.sum("tokens").alias("n"))

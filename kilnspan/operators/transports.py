@@ -85,6 +85,14 @@ def boundaries_of(rows: DataFrame) -> DataFrame:
     return spans.select("model_id", "phase", F.inline(kinds).alias("boundary_type", "next_global_batch_id"))
 
 
+def expected_row_table(settings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, phase, rows): the same for a table of captures' settings."""
+    per = F.col("global_batch") * F.col("layers")
+    rounds = F.expr("train_iterations div eval_interval") + 1
+    rows = {"train": F.col("train_iterations") * per, "valid": rounds * F.col("eval_iterations") * per, "test": F.col("eval_iterations") * per}
+    return settings.select(*by, F.inline(F.array(*[F.struct(F.lit(p).alias("phase"), n.cast("bigint").alias("rows")) for p, n in rows.items()])))
+
+
 def expected_rows(train_iterations: int, global_batch: int, layers: int, eval_interval: int, eval_iterations: int) -> dict[str, int]:
     """Rows of a per-layer, per-sample capture in each phase."""
     per = global_batch * layers

@@ -786,7 +786,7 @@ def rank_grid(spark: SparkSession, folder: str) -> DataFrame:
     return ranks.select("rank", *topology.grid_coordinates(F.col("rank"), {"tp": 4, "cp": 2, "dp": 4, "pp": 2}))
 
 
-def _two_rank_manifest() -> topology.Manifest:
+def two_rank_manifest() -> topology.Manifest:
     own, both = [(0,), (1,)], [(0, 1)]
     return topology.Manifest("run", own, own, own, both, both, own, own, both, {0: 0}, [(0, 2), (1, 3)], 2)
 
@@ -800,7 +800,7 @@ select mb microbatch_id, rk::integer dp_rank, tok token_index, sum(n + 1000 * de
 )
 def reconstructed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Two expert-parallel ranks put back together; a packed row holds its own place, so sums tell where routes were found."""
-    topo = _two_rank_manifest()
+    topo = two_rank_manifest()
     e = read(spark, folder, "embeddings").select("vec_id", F.expr("vec_id div 40").alias("mb"), (F.col("vec_id") % 2).cast("int").alias("rk"), F.expr("least(cast(round(abs(embedding[0] * 1000)) as bigint) % 4, cast(round(abs(embedding[1] * 1000)) as bigint) % 3)").cast("int").alias("a"))
     at = [F.lit("run").alias("model_id"), F.lit("train").alias("phase"), F.lit(1).cast("bigint").alias("global_batch_id"), F.lit(0).alias("attempt_id"), F.col("mb").alias("microbatch_id"), F.lit(0).alias("layer_no"), F.lit("fwd").alias("direction")]
     listed = e.groupBy("mb", "rk").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "a"))), lambda x: x["a"]).alias("a"))
