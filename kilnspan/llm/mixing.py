@@ -246,11 +246,12 @@ def mix(rows: DataFrame, decisions: DataFrame, sources: DataFrame, key: str = "r
     )
 
     bits = int(np.ceil(np.log2(max(1, max((r for _, r in sums.values()), default=1) / BLOCK_ROWS)))) if sums else 0
-    hashed = pool.withColumn("__h", F.xxhash64(F.col("__key"), F.lit(seed))).withColumn("__block", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    copied = pool.groupBy("__key", "dataset_id", "tokens").agg(F.count(F.lit(1)).alias("__n")).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    hashed = copied.withColumn("__h", F.xxhash64("__key", "__nth", F.lit(seed))).withColumn("__block", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
     blocks = hashed.groupBy("dataset_id", "__block").agg(F.sum("tokens").alias("__sum"))
     before = Window.partitionBy("dataset_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("dataset_id", "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("dataset_id", "__block").orderBy("__h", "__key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("dataset_id", "__block").orderBy("__h", "__key", "tokens", "__nth").rowsBetween(Window.unboundedPreceding, -1)
     laid = hashed.join(blocks, ["dataset_id", "__block"]).withColumn("__offset", F.col("__base") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     copies = F.ceil((F.col("wanted") - F.col("__offset")) / F.col("pool")).cast("int")
     drawn = laid.join(F.broadcast(plan), "dataset_id").withColumn("__copies", copies).where("__copies > 0")

@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers: first-fit decreasing on a tournament tree.
 
-Items are packed in randomised groups: an item's group is a hash of its key, so a source
-of any size falls into groups of about ``group_items`` items and a source that holds a
-third of all documents is spread like any other.  Each group is packed on its own by
+Items are packed in randomised groups: an item's group is a hash of its key and of its
+number among its copies, so a source of any size falls into groups of about
+``group_items`` items, and neither a source nor a key that makes up a third of all
+documents is one group's work.  Each group is packed on its own by
 first-fit decreasing.  A tournament tree over the open bins holds at each node the
 largest room below it, so the first bin with room is found in O(log bins).
 
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .bpe import TOKENIZERS, size_column
 
 #: Items per group, on average.  A group costs at most about one badly filled container.
@@ -92,20 +94,24 @@ def _pack_group(group: pd.DataFrame) -> pd.DataFrame:
 def pack(items: DataFrame, containers: DataFrame, counts: DataFrame, key: str, size: str, source: str = "source", group_items: int = GROUP_ITEMS) -> DataFrame:
     """Assign items (key, source, size) to containers of their source's capacity.
 
-    ``counts`` holds (source, items), an estimate that only sets the number of groups.
-    One shuffle, of key, source and size alone.  Columns out: source, container_id,
+    ``counts`` holds (source, items), an estimate that only sets the number of groups, also
+    of the sources that have no capacity.  Two shuffles, of key, source and size alone: one
+    counts copies, combined before it, the other brings groups together.  Columns out: source, container_id,
     doc_id (the key), piece, tokens, capacity.
     """
     if containers.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     bounds = containers.groupBy(F.col("source").alias("__source")).agg(F.min("capacity").cast("int").alias("__capacity"))
-    bounds = bounds.join(F.broadcast(counts.select(F.col("source").alias("__source"), "items")), "__source", "left")
+    sized = cut(counts.select(F.col("source").alias("__source"), "items"))
+    loose = sized.join(F.broadcast(bounds.select("__source")), "__source", "left_anti").agg(F.sum("items")).first()[0] or 0
+    bounds = bounds.join(F.broadcast(sized.join(F.broadcast(bounds.select("__source")), "__source", "left_semi")), "__source", "left")
     groups = F.greatest(F.lit(1), F.ceil(F.coalesce("items", F.lit(1)) / F.lit(group_items))).cast("int")
     bounds = bounds.select("__source", "__capacity", groups.alias("__groups"))
     narrow = items.select(F.col(source).alias("__source"), F.col(key).alias("__key"), F.col(size).cast("bigint").alias("__size"))
-    salted = narrow.join(F.broadcast(bounds), "__source", "left").withColumn(
-        "__group", F.pmod(F.xxhash64("__key", F.lit(7)), F.coalesce("__groups", F.lit(64))).cast("int")
-    )
+    copies = narrow.groupBy("__source", "__key", "__size").agg(F.count(F.lit(1)).alias("__n"))
+    apart = copies.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    salt = F.pmod(F.xxhash64("__key", "__nth", F.lit(7)), F.coalesce("__groups", F.lit(-(-int(loose) // group_items) or 1)))
+    salted = apart.join(F.broadcast(bounds), "__source", "left").withColumn("__group", salt.cast("int")).drop("__nth")
     kind = dict(items.dtypes)[key]
     return salted.drop("__groups").groupBy("__source", "__group").applyInPandas(_pack_group, _OUT.format(key=kind))
 
@@ -113,7 +119,7 @@ def pack(items: DataFrame, containers: DataFrame, counts: DataFrame, key: str, s
 def pack_documents(docs: DataFrame, containers: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Pack documents by their size in tokens; each text is encoded once, whole."""
     texts = docs.where("text is not null and text <> ''")
-    counts = texts.groupBy("source").agg(F.count(F.lit(1)).alias("items")).join(F.broadcast(containers.select("source").distinct()), "source", "left_semi")
+    counts = texts.groupBy("source").agg(F.count(F.lit(1)).alias("items"))
     items = texts.select("doc_id", "source", size_column("text", name, folder).alias("size"))
     return pack(items, containers, counts, "doc_id", "size", group_items=group_items)
 

@@ -78,6 +78,21 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, folder))
 
 
+def p7_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """The same packing with sizes in code points, which SQL knows: per source what is packed, and that no container overflows, none is split below the capacity and few are used."""
+    texts = _read(spark, folder, "documents").where("text is not null and text <> ''").select("doc_id", "source", F.char_length("text").alias("size"))
+    bounds = _read(spark, folder, "pack_containers")
+    packed = cut(packing.pack(texts, bounds, texts.groupBy("source").agg(F.count(F.lit(1)).alias("items")), "doc_id", "size"))
+    held = packed.groupBy("source", "container_id").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("capacity"))
+    per = held.groupBy("source").agg(F.sum("t").alias("chars"), F.count("container_id").alias("used"), F.max("capacity").alias("capacity"), F.max(F.col("t") > F.col("capacity")).alias("over"))
+    whole = packed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.max("capacity").alias("capacity"))
+    docs = whole.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.bool_or((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity"))), F.lit(False)).alias("split"))
+    fewest = F.ceil(F.col("chars") / F.col("capacity")).cast("bigint")
+    # First-fit decreasing takes at most 11/9 of the best and one more, in each group of documents.
+    few = F.col("used") <= F.floor(fewest * 11 / 9) + 1 + F.ceil(F.col("documents") / packing.GROUP_ITEMS)
+    return per.join(docs, per["source"].eqNullSafe(docs["source"])).select(per["source"], "documents", "chars", fewest.alias("fewest_containers"), F.coalesce(~F.col("over"), F.lit(True)).alias("none_overflows"), (~F.col("split")).alias("none_split"), F.coalesce(few, F.lit(True)).alias("few_used"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with open slots, or without a body of their own."""
     return residue.find_residue(_read(spark, folder, "documents"))
@@ -88,4 +103,4 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(_read(spark, folder, "documents")).select("doc_id", "source", "lang", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p1_targets, p2_percentiles, p2_combined, p6_ids, p7_pack, p7_fill, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p1_targets, p2_percentiles, p2_combined, p6_ids, p7_pack, p7_fill, p7_chars, p8_found, p8_clean)}

@@ -83,4 +83,11 @@ select ids.dataset_id, round(s, 6) target_share, coalesce(sum(target_token_count
 from ids join share on share.i = ids.i left join loss_slope_iteration_metrics m on m.dataset_id = ids.dataset_id group by 1, s
 """
 
-SQL = {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p2_percentiles": P2_PERCENTILES, "p2_combined": P2_COMBINED}
+P7_CHARS = """
+with t as (select source, doc_id, length(text) n from documents where text is not null and text <> ''),
+c as (select source, min(capacity) capacity from pack_containers group by 1)
+select t.source, count(*) documents, sum(n)::bigint chars, ceil(sum(n) / any_value(c.capacity))::bigint fewest_containers, true none_overflows, true none_split, true few_used
+from t left join c on c.source = t.source group by 1
+"""
+
+SQL = {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p2_percentiles": P2_PERCENTILES, "p2_combined": P2_COMBINED, "p7_chars": P7_CHARS}
