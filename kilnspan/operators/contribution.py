@@ -81,6 +81,21 @@ def grid_gaps(observed: DataFrame, steps: Sequence[int], layers: Sequence[int],
     return both.withColumn("problem", problem).where("problem is not null").select("global_batch_id", "layer_no", "invocations", "problem")
 
 
+def model_grid_gaps(observed: DataFrame, microbatches: int) -> DataFrame:
+    """The same for every model against its own grid: each step that it has should have every layer that it has.
+
+    The grid comes from what is there, never from a largest number, so a stray step adds one row per layer.
+    """
+    rows = observed.where("global_batch_id is not null and layer_no is not null")
+    have = rows.groupBy("model_id", "global_batch_id", "layer_no").agg(F.count_distinct("microbatch_id").alias("invocations"))
+    layers = have.groupBy("model_id").agg(F.collect_set("layer_no").alias("layers"))
+    steps = have.select("model_id", "global_batch_id").distinct()
+    plan = steps.join(layers, "model_id").select("model_id", "global_batch_id", F.explode("layers").alias("layer_no"))
+    both = plan.join(have, ["model_id", "global_batch_id", "layer_no"], "left")
+    problem = F.when(F.col("invocations").isNull(), "missing").when(F.col("invocations") != microbatches, "invocations")
+    return both.withColumn("problem", problem).where("problem is not null").select("model_id", "global_batch_id", "layer_no", "invocations", "problem")
+
+
 def validation_record(tokens: DataFrame, gaps: DataFrame, model_id: str) -> dict:
     """The run's validation as one record; ``status`` is passed or failed."""
     row = tokens.agg(

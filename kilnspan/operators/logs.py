@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def log_lines(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,6 +35,37 @@ def flush_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.where("rows is not null and took_ms is not null")
 
 
+#: Formats of log lines (fixed values).
+EVAL_TIMER = r"evaluate\s+\.{3,}:\s+\(([0-9.]+),\s+([0-9.]+)\)"
+EVAL_PHASE = r"validation loss at iteration .* on (validation set|test set)"
+MEMORY = r"memory \(MB\).*allocated:\s*([0-9.]+).*max allocated:\s*([0-9.]+).*reserved:\s*([0-9.]+).*max reserved:\s*([0-9.]+)"
+#: Lines after a timer in which its phase may be named.
+PHASE_WITHIN = 7
+
+
+def eval_timers(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line_no, block, phase, min_ms, max_ms) of evaluations: the phase is the first one named within the next lines, else unknown; blocks count from 0."""
+    named = F.regexp_extract("line", EVAL_PHASE, 1)
+    phase = F.when(named == "validation set", "valid").when(named == "test set", "test")
+    after = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, PHASE_WITHIN)
+    number = lambda i: F.regexp_extract("line", EVAL_TIMER, i)
+    seen = lines.select(key, "line_no", number(1).alias("a"), number(2).alias("b"), phase.alias("p")).withColumn("next", F.first("p", ignorenulls=True).over(after)).where("a <> ''")
+    block = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1
+    return seen.select(key, "line_no", block.alias("block"), F.coalesce("next", F.lit("unknown")).alias("phase"), F.col("a").cast("double").alias("min_ms"), F.col("b").cast("double").alias("max_ms"))
+
+
+def warmed(timers: DataFrame) -> DataFrame:
+    """Evaluations without the first of each log, which warms up."""
+    return timers.where("block > 0")
+
+
+def memory_peaks(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, max_allocated_mb, max_reserved_mb) over the memory lines of each log."""
+    number = lambda i: F.expr(f"try_cast(regexp_extract(line, '{MEMORY.replace(chr(92), chr(92) * 2)}', {i}) as double)")
+    found = lines.select(key, number(2).alias("a"), number(4).alias("r")).where("a is not null")
+    return found.groupBy(key).agg(F.max("a").alias("max_allocated_mb"), F.max("r").alias("max_reserved_mb"))
+
+
 def nearest_rank(values: Column, fraction: float) -> Column:
     """The element at round(fraction (n - 1)) of the sorted values, halves to even (an aggregate; values gather per group)."""
     listed = F.sort_array(F.collect_list(values))
@@ -42,8 +74,6 @@ def nearest_rank(values: Column, fraction: float) -> Column:
 
 def nearest_rank_grouped(df: DataFrame, by: list[str], value: str, fraction: float, name: str) -> DataFrame:
     """The same for groups of any size: ranks come from counts of distinct values, no list is gathered."""
-    from pyspark.sql.window import Window
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy(*by).orderBy(value)
     ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
@@ -82,6 +112,13 @@ def throughput(global_batch: int, iterations: int, seq_length: int, seconds: flo
     return {"samples_per_second": samples / seconds, "tokens_per_second": samples * seq_length / seconds}
 
 
+def write_summary(rows: DataFrame, folder: str, order: list[str]) -> str:
+    """A benchmark's rows as JSON lines in order (one file: a row per case and repetition), and as the Markdown table that is returned."""
+    ordered = rows.orderBy(*order)
+    ordered.coalesce(1).write.mode("overwrite").json(folder)
+    return markdown_table([r.asDict() for r in ordered.limit(1000).collect()])
+
+
 def markdown_table(rows: list[dict]) -> str:
     """Rows of a small result as a Markdown table."""
     if not rows:

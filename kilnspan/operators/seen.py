@@ -52,7 +52,12 @@ class Layout:
     @staticmethod
     def of(df: DataFrame, numbers: Sequence[str], old: Layout | None = None) -> Layout:
         """A layout that holds all values of df (and of an older layout)."""
-        row = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in numbers for f in (F.min, F.max)]).first()
+        return Layout.counted(df, numbers, old)[0]
+
+    @staticmethod
+    def counted(df: DataFrame, numbers: Sequence[str], old: Layout | None = None) -> tuple[Layout, int]:
+        """The same with the number of df's rows, in one pass."""
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in numbers for f in (F.min, F.max)]).first()
         known = {name: (low, low + (1 << bits) - 2) for name, low, bits in old.fields} if old else {}
         fields = []
         for c in numbers:
@@ -60,7 +65,7 @@ class Layout:
             highs = [x for x in (row[f"max_{c}"], known.get(c, (None, None))[1]) if x is not None]
             low, high = min(lows, default=0), max(highs, default=0)
             fields.append((c, low, (high - low + 1).bit_length()))
-        return Layout(tuple(fields))
+        return Layout(tuple(fields)), row["rows"]
 
     def words(self) -> list[list[tuple[str, int, int, int]]]:
         """The fields of each word with their shift; the last word holds the last fields."""
@@ -294,11 +299,11 @@ class SeenStore:
         step, known = len(taken), taken[-1]["ids"] if taken else 0
         at = f"{self.folder}/batch-{step}-{uuid.uuid4().hex[:8]}"
         old_layout, old_names, stored = self._load(taken) if taken else (None, None, None)
-        layout = Layout.of(rows, self.numbers, old_layout)
+        layout, arriving = Layout.counted(rows, self.numbers, old_layout)
         dictionary = grow_dictionary(rows, self.names, old_names)
         ids = encode(rows, self.names, dictionary, layout, self.order)
         words = [c for c in ids.columns if c != "ord"]
-        shards = self.shards or max(1, -(-(rows.count() + known // CONTAINED) // SHARD_ROWS))
+        shards = self.shards or max(1, -(-(arriving + known // CONTAINED) // SHARD_ROWS))
         spread = thin_out(ids, words, shards)
         whole = stored is None or old_layout != layout
         if stored is None:

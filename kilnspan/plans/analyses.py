@@ -603,15 +603,15 @@ def conversation_bounds(spark: SparkSession, folder: str) -> DataFrame:
     TURNS_SQL
     + """, s as (select *, sum(case when "role" = 'system' or rn = 1 then 1 else 0 end) over (partition by doc_id order by turn rows unbounded preceding) seg from (select *, row_number() over (partition by doc_id order by turn) rn from tn)),
 r as (select doc_id, seg, min(rn) - 1 a, max(rn) b from s group by 1, 2), l as (select doc_id, list(a::integer order by seg) a, list(b::integer order by seg) b from r group by 1)
-select doc_id, list_resize(a, 4096, b[len(b)])[1:40] starts, list_resize(b, 4096, b[len(b)])[1:40] ends from l"""
+select doc_id, list_resize(a, 4096, b[len(b)]) starts, list_resize(b, 4096, b[len(b)]) ends from l"""
 )
 def padded_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as ranges of a fixed number of places (the first 40 of 4096 shown)."""
+    """Conversations as ranges of a fixed number of places, 4096."""
     roles = bridge.turns(spark, folder).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
     starts = roles.select("doc_id", segments.conversation_starts(F.col("roles")).alias("s"), F.size("roles").alias("n"))
     ranges = F.transform("s", lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get("s", i + 1), F.col("n")).alias("end")))
     padded = starts.select("doc_id", segments.padded_ranges(ranges, 4096).alias("p"))
-    return padded.select("doc_id", F.slice("p.starts", 1, 40).alias("starts"), F.slice("p.ends", 1, 40).alias("ends"))
+    return padded.select("doc_id", "p.starts", "p.ends")
 
 
 @query(
@@ -675,6 +675,38 @@ def paired_overheads(spark: SparkSession, folder: str) -> DataFrame:
     return logs.overhead(o, ["pair"]).withColumns({c: F.round(c, 6) for c in ("mean_overhead", "overhead_deviation")})
 
 
+_TIMED = """with o as (select o_custkey % 20 log, row_number() over (partition by o_custkey % 20 order by o_orderkey) - 1 n, o_totalprice ms, o_orderpriority pr from orders)
+"""
+
+
+def _timed_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as lines of twenty logs: an evaluation timer, a loss line that names a phase, or memory, by priority."""
+    o = read(spark, folder, "orders").select((F.col("o_custkey") % 20).alias("doc_id"), "o_orderkey", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("ms"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    line = F.when(F.col("p") == "1", F.concat(F.lit("    evaluate ......................: (1.5, "), "ms", F.lit(")")))
+    line = line.when(F.col("p") == "2", F.lit(" validation loss at iteration 10 on validation set | lm loss value: 1.0")).when(F.col("p") == "3", F.lit(" validation loss at iteration 10 on test set | lm loss value: 1.0"))
+    line = line.when(F.col("p") == "4", F.concat(F.lit("[Rank 0] memory (MB) | allocated: 1.0 | max allocated: "), "ms", F.lit(" | reserved: 2.0 | max reserved: "), "ms")).otherwise("other")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"])
+    return o.groupBy("doc_id").agg(listed.alias("lines")).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+
+
+@query(
+    _TIMED
+    + """, t as (select *, substr(pr, 1, 1) p from o), w as (select *, list(case p when '2' then 'valid' when '3' then 'test' end) over (partition by log order by n rows between 1 following and 7 following) nx,
+  row_number() over (partition by log, p order by n) - 1 block from t)
+select log doc_id, coalesce(list_filter(nx, lambda x: x is not null)[1], 'unknown') phase, count(*) n, round(max(round(ms, 2)), 2) slowest_ms from w where p = '1' and block > 0 group by 1, 2"""
+)
+def eval_timers(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluations after the first of each log, by the phase that the lines after them name."""
+    timers = logs.warmed(logs.eval_timers(_timed_logs(spark, folder)))
+    return timers.groupBy("doc_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.max("max_ms").alias("slowest_ms"))
+
+
+@query(_TIMED + "select log doc_id, max(round(ms, 2)) max_allocated_mb, max(round(ms, 2)) max_reserved_mb from o where pr[1] = '4' group by 1")
+def memory_peaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The most memory allocated and reserved in each log."""
+    return logs.memory_peaks(_timed_logs(spark, folder))
+
+
 # ---------------------------------------------------------------- contribution
 
 
@@ -706,16 +738,15 @@ def contribution_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     TELEMETRY_SQL
-    + """, o as (select global_batch_id, layer_no, count(distinct microbatch_id) n from cf where model_id = 'olm-aurora-8x' and act_name = 'router_token_entropy_mean' and phase = 'train' group by 1, 2),
-p as (select s::bigint global_batch_id, l::integer layer_no from (select unnest(range(1, 11)) s) cross join (select unnest(range(16)) l))
-select coalesce(p.global_batch_id, o.global_batch_id) global_batch_id, coalesce(p.layer_no, o.layer_no) layer_no, o.n invocations,
-  case when p.layer_no is null then 'extra' when o.n is null then 'missing' else 'invocations' end problem
-from p full outer join o on p.global_batch_id = o.global_batch_id and p.layer_no = o.layer_no where p.layer_no is null or o.n is null or o.n <> 2"""
+    + """, o as (select model_id, global_batch_id, layer_no, count(distinct microbatch_id) n from cf where model_id is not null and act_name = 'router_token_entropy_mean' and phase = 'train' and global_batch_id is not null and layer_no is not null group by 1, 2, 3),
+p as (select * from (select distinct model_id, global_batch_id from o) join (select distinct model_id, layer_no from o) using (model_id))
+select p.model_id, p.global_batch_id, p.layer_no, o.n invocations, case when o.n is null then 'missing' else 'invocations' end problem
+from p left join o on p.model_id = o.model_id and p.global_batch_id = o.global_batch_id and p.layer_no = o.layer_no where o.n is null or o.n <> 2"""
 )
 def grid_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Where a model's steps and layers are not the planned grid of 10 x 16 with two microbatches."""
-    rows = bridge.clean_floats(spark, folder).where("model_id = 'olm-aurora-8x' and act_name = 'router_token_entropy_mean' and phase = 'train'")
-    return contribution.grid_gaps(rows, range(1, 11), range(16), 2)
+    """Steps at which a model lacks one of its layers, or has not two microbatches of it."""
+    rows = bridge.clean_floats(spark, folder).where("model_id is not null and act_name = 'router_token_entropy_mean' and phase = 'train'")
+    return contribution.model_grid_gaps(rows, 2)
 
 
 # ---------------------------------------------------------------- tensors, packing, reconstruction
