@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from ..checks import one_sided, require, require_empty
 from ..functions.arrays import consistency, pathway_sequence, pathway_tokens, project, token_word
-from ..session import small_side
+from ..session import cut, small_side
 
+#: Different pathways of one dataset and iteration that are compared with as many at a time.
+PAIR_BLOCK = 2_000
 SAMPLE = ["model_id", "phase", "global_batch_id", "dp_rank", "microbatch_id", "sample_index"]
 
 
@@ -79,16 +81,22 @@ def window_distances(samples: DataFrame, iterations: DataFrame, sizes: Sequence[
     Equal pathways of an iteration are one weighted row; the distance of two pathways is
     computed once per pair of iterations, in the JVM, whatever the number of windows that hold it:
     sums per (iteration, iteration) pair within the largest window are what the windows add up.
+    Iterations with many different pathways are compared in blocks of about PAIR_BLOCK by as many,
+    so that no pair of iterations is one task's work.
     """
     ranked = dense_iterations(iterations, iteration, by)
     words = samples.select(*by, iteration, "dataset_id", token_word(F.col("pathway")).alias("pathway"))
     rows = words.join(ranked, [*by, iteration]).groupBy(*by, "dataset_id", "rn", "pathway").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows)
+    most = rows.groupBy(*by, "dataset_id", "rn").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // PAIR_BLOCK)
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.pmod(F.xxhash64("pathway"), F.lit(blocks)).cast("int")
     span = max(sizes)
-    left = rows.select(*by, "dataset_id", F.col("rn").alias("i"), F.col("pathway").alias("a"), F.col("n").alias("na"))
+    left = rows.withColumn("bi", own).withColumn("bj", every).select(*by, "dataset_id", F.col("rn").alias("i"), F.col("pathway").alias("a"), F.col("n").alias("na"), "bi", "bj")
     # Partner iterations are named explicitly, so the join is on equal keys.
     left = left.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("i") + span - 1)))
-    right = rows.select(*by, "dataset_id", F.col("rn").alias("j"), F.col("pathway").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, [*by, "dataset_id", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    right = rows.withColumn("bj", own).withColumn("bi", every).select(*by, "dataset_id", F.col("rn").alias("j"), F.col("pathway").alias("b"), F.col("n").alias("nb"), "bi", "bj")
+    pairs = left.join(right, [*by, "dataset_id", "j", "bi", "bj"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
     sums = pairs.select(*by, "dataset_id", "i", "j", (F.levenshtein("a", "b").cast("bigint") * F.col("na") * F.col("nb")).alias("d"))
     sums = sums.groupBy(*by, "dataset_id", "i", "j").agg(F.sum("d").alias("d"))
     last = ranked.groupBy(*by).agg(F.max("rn").alias("last")) if by else ranked.agg(F.max("rn").alias("last"))

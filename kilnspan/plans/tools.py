@@ -1,4 +1,4 @@
-"""Command lines: ``python -m kilnspan.plans.tools bound|dump|contribution ...``"""
+"""Command lines: ``python -m kilnspan.plans.tools bound|dump|contribution|control ...``"""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attempts, contribution, reconstruct, segments, topology
+from ..operators.loss_slope import Settings
 from ..schema import KEY
 from ..sources import jsonl, tensors
+from ..streaming import controller
 
 
 def bound(spark: SparkSession, patterns: list[str]) -> dict:
@@ -21,17 +23,42 @@ def bound(spark: SparkSession, patterns: list[str]) -> dict:
     return segments.conversation_bound(roles).where("file is null").first().asDict()
 
 
-def dump(spark: SparkSession, folder: str, tables: list[str], out: str, model_id: str) -> dict:
-    """A model's rows of the tables as JSON lines in key order, with a manifest of counts."""
+def dump(spark: SparkSession, folder: str, tables: list[str], out: str, model_id: str, payloads: bool = False) -> dict:
+    """A model's rows of the tables as JSON lines in key order, with a manifest of counts.
+
+    ``payloads``: tensor bytes go to files of their own (a table by SHA-256, equal payloads
+    once), and rows name the hash and length instead of holding them as base64.
+    """
     counts = {}
     for t in tables:
         rows = spark.read.parquet(f"{folder}/{t}.parquet").where(F.col("model_id") == model_id)
-        jsonl.export(rows, f"{out}/{t}", [k for k in KEY if k in rows.columns])
+        order = [k for k in KEY if k in rows.columns]
+        if payloads and "bytes" in rows.columns:
+            held = rows.withColumn("payload_sha256", F.sha2("bytes", 256))
+            held.groupBy("payload_sha256").agg(F.first("bytes").alias("bytes")).write.mode("overwrite").parquet(f"{out}/{t}_payloads")
+            rows = held.withColumn("payload_bytes", F.octet_length("bytes")).drop("bytes")
+        jsonl.export(rows, f"{out}/{t}", order)
         counts[t] = spark.read.text(f"{out}/{t}").count()
-    Path(out, "dump_manifest.json").write_text(json.dumps({"model_id": model_id, "rows": counts}, sort_keys=True))
+    manifest = json.dumps({"model_id": model_id, "rows": counts}, sort_keys=True)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/dump_manifest")
     return counts
 
 
+def control(spark: SparkSession, samples: str, out: str, settings: Settings, datasets: list[int], expected_samples: int, deadline_s: float | None, startup_s: float, once: bool) -> dict:
+    """Online control over a folder of sample files: iterations in order, decisions and audit tables in ``out``."""
+    controller.wait_ready(spark, [samples], startup_s)
+    sink = controller.OnlineControl(spark, out, settings)
+    stream = spark.readStream.schema(controller.SAMPLE_SCHEMA).parquet(f"{samples}/*")
+    done = controller.complete_iterations(stream, expected_samples, datasets, int(deadline_s * 1000) if deadline_s else None)
+    writer = done.writeStream.option("checkpointLocation", f"{out}/stream").foreachBatch(sink)
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    try:
+        query.awaitTermination()
+    finally:
+        sink.close()
+    return {r["run_id"]: r["last_window_id"] for r in sink.standing().collect()}
+
+
 def contribution_run(spark: SparkSession, folder: str, manifest: str, out: str, steps: int, layers: list[int], microbatches: int) -> dict:
     """Reconstruct a run's executions and write its contribution report and validation."""
     topo = topology.Manifest.from_json(Path(manifest).read_text())
@@ -58,6 +85,16 @@ def main(argv: list[str] | None = None) -> dict:
     for name in ("--raw", "--out", "--model-id"):
         d.add_argument(name, required=True)
     d.add_argument("--table", action="append", required=True)
+    d.add_argument("--payloads", action="store_true")
+    o = sub.add_parser("control")
+    for name in ("--samples", "--out"):
+        o.add_argument(name, required=True)
+    for name, kind in (("--window-iterations", int), ("--total-windows", int), ("--expected-samples", int), ("--eta", float), ("--uniform-smoothing", float)):
+        o.add_argument(name, type=kind, required=True)
+    o.add_argument("--dataset", type=int, action="append", required=True)
+    o.add_argument("--deadline-s", type=float)
+    o.add_argument("--startup-s", type=float, default=60.0)
+    o.add_argument("--once", action="store_true", help="take what is there and stop")
     c = sub.add_parser("contribution")
     for name in ("--raw", "--out", "--manifest"):
         c.add_argument(name, required=True)
@@ -69,7 +106,10 @@ def main(argv: list[str] | None = None) -> dict:
     if a.tool == "bound":
         out = bound(spark, a.patterns)
     elif a.tool == "dump":
-        out = dump(spark, a.raw, a.table, a.out, a.model_id)
+        out = dump(spark, a.raw, a.table, a.out, a.model_id, a.payloads)
+    elif a.tool == "control":
+        settings = Settings(a.window_iterations, a.total_windows, a.eta, a.uniform_smoothing)
+        out = control(spark, a.samples, a.out, settings, a.dataset, a.expected_samples, a.deadline_s, a.startup_s, a.once)
     else:
         out = contribution_run(spark, a.raw, a.manifest, a.out, a.steps, a.layer, a.microbatches)
     print(json.dumps(out, sort_keys=True, default=str))

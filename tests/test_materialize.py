@@ -60,7 +60,12 @@ def test_all_derived_tables(spark, tmp_path):
     assert "raw" in sql.register(spark, str(tmp_path))
     assert spark.sql("select count(*) n, max(size(decode_tensor(dtype, shape, bytes))) k from raw").first().k == 4
     assert tools.main(["dump", "--raw", str(tmp_path), "--out", str(tmp_path / "dump"), "--model-id", "m", "--table", "raw", "--table", "raw_scalar_int"]) == {"raw": 20, "raw_scalar_int": 6}
-    assert json.loads((tmp_path / "dump/dump_manifest.json").read_text())["rows"]["raw"] == 20
+    told = lambda at: json.loads(spark.read.text(str(tmp_path / at / "dump_manifest")).first().value)["rows"]
+    assert told("dump")["raw"] == 20
+    tools.main(["dump", "--raw", str(tmp_path), "--out", str(tmp_path / "apart"), "--model-id", "m", "--table", "raw", "--payloads"])
+    assert told("apart") == {"raw": 20}
+    kept, rows = spark.read.parquet(str(tmp_path / "apart/raw_payloads")), spark.read.json(str(tmp_path / "apart/raw"))
+    assert "bytes" not in rows.columns and rows.join(kept, "payload_sha256").where("payload_bytes = octet_length(bytes)").count() == 20
 
 
 def test_contribution_from_raw_rows(spark, tmp_path):

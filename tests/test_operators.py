@@ -159,6 +159,16 @@ def test_windows(spark):
     assert s[20, 21].consistency_sum == sum(r[2] for r in rows if r[0] >= 2)
 
 
+def test_distances_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("m", "train", it, 0, s % 2, [rng.randrange(6) for _ in range(rng.randrange(5))]) for it in range(1, 5) for s in range(12)]
+    df = spark.createDataFrame(rows, "model_id string, phase string, global_batch_id bigint, sample_index int, dataset_id int, pathway array<int>")
+    run = lambda: sorted(map(tuple, pathways.window_distances(df, df.select("global_batch_id"), [1, 3]).collect()))
+    whole = run()
+    monkeypatch.setattr(pathways, "PAIR_BLOCK", 2)
+    assert run() == whole and len(whole) == 16
+
+
 def test_window_datasets_apart(spark):
     rows = [(0 + 1, 0, 1.0, [1]), (1, 1, 1.0, [1]), (2, 0, 1.0, [2])]
     df = spark.createDataFrame(rows, "global_batch_id bigint, dataset_id int, score double, pathway array<int>")
@@ -420,6 +430,18 @@ def test_logs(spark):
     assert logs.markdown_table([{"a": 1, "b": 0.5}]).splitlines()[2] == "| 1 | 0.5000 |"
 
 
+def test_log_formats(spark, tmp_path):
+    lines = ["x", "evaluate .......: (1.5, 20.25)", *["y"] * 6, " validation loss at iteration 5 on validation set | z", "evaluate ....: (2, 30)", "validation loss at iteration 5 on test set", "evaluate ...: (3, 4)", *["y"] * 7, "validation loss at iteration 9 on test set",
+             "[Rank 0] memory (MB) | allocated: 1 | max allocated: 7.5 | reserved: 2 | max reserved: 9.25", "[Rank 1] memory (MB) | allocated: 1 | max allocated: 8 | reserved: 2 | max reserved: 3", "evaluate .: (1, 2)"]
+    df = logs.log_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "doc_id int, text string"))
+    timers = logs.eval_timers(df)
+    assert [(r.block, r.phase, r.min_ms, r.max_ms) for r in timers.orderBy("line_no").collect()] == [(0, "valid", 1.5, 20.25), (1, "test", 2.0, 30.0), (2, "unknown", 3.0, 4.0)]
+    assert logs.warmed(timers).count() == 2
+    assert [tuple(r) for r in logs.memory_peaks(df).collect()] == [(1, 8.0, 9.25)]
+    table = logs.write_summary(timers.select("block", "max_ms"), str(tmp_path / "s"), ["block"])
+    assert table.splitlines()[2] == "| 0 | 20.2500 |" and spark.read.json(str(tmp_path / "s")).count() == 3
+
+
 def test_percentiles_of_groups(spark):
     rng = random.Random(3)
     rows = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([0.5, 0.5, 0.5, rng.random(), None])) for _ in range(500)] + [(3, 0.25)] * 40 + [(4, None)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnspan.operators import lambda_views, loss_slope, seen
+from kilnspan.plans import tools
 from kilnspan.sources import audit
 from kilnspan.streaming import controller, counts
 from tests.test_upkeep import LOG, RAW, brute, brute_repeats, events, messages
@@ -163,6 +164,17 @@ def test_deadline_holds_however_busy_the_stream(spark, tmp_path):
         q.stop()
 
 
+def test_command_line(spark, tmp_path, capsys):
+    rows = samples()
+    for n, part in enumerate((rows[10:], rows[:10])):
+        spark.createDataFrame(part, controller.SAMPLE_SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    args = ["control", "--samples", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--window-iterations", "2", "--total-windows", "2", "--expected-samples", "4", "--eta", "0.5", "--uniform-smoothing", "0.1", "--dataset", "0", "--dataset", "1", "--once"]
+    assert tools.main(args) == {"r": 2} and '"r": 2' in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "out/audit/mixture_decisions")).count() == 1
+    with pytest.raises(TimeoutError):
+        tools.main([*args[:2], str(tmp_path / "none"), *args[3:], "--startup-s", "0.2"])
+
+
 def test_startup_timeout(spark, tmp_path):
     controller.wait_ready(spark, [str(tmp_path)], 1)
     with pytest.raises(TimeoutError):
