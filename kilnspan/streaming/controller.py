@@ -163,7 +163,7 @@ class OnlineControl:
     window's end; bounded by what is open), and where each run stands.  Decisions follow
     from the stored standing and the windows just closed alone.  Audit tables are written by a
     thread; a failure is raised by the next batch, and what a crash kept from being
-    written is written when the control is opened again.
+    written is written when the control is opened again.  One control at a time works on a folder.
     """
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings, standing: DataFrame | None = None) -> None:
