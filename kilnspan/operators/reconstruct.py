@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..checks import DataError, one_sided, require, require_empty, require_unique
+from ..session import cut
 from .topology import Manifest
 
 EXECUTION = ["model_id", "phase", "global_batch_id", "attempt_id", "microbatch_id", "layer_no", "direction"]
@@ -44,6 +45,7 @@ def route_table(ids: DataFrame, weights: DataFrame, manifest: Manifest, strict:
     here = Window.partitionBy(*EXECUTION, "shard_rank")
     rows = rows.withColumn("batch", F.count(F.lit(1)).over(here)).withColumn("seq", F.size("ids"))
     if strict:
+        rows = cut(rows)  # checked, then read again
         count = F.col("token_end") - F.col("token_start")
         rules = {
             "wrong data-parallel rank": F.col("dp_rank") == F.col("dense_dp_rank"),
@@ -109,12 +111,14 @@ def reconstruct(ids: DataFrame, weights: DataFrame, maps: DataFrame, packed: Dat
     manifest.require_supported()
     routes = route_table(ids, weights, manifest, strict)
     if strict:
+        routes = cut(routes)
         require_inverse_maps(routes, maps)
         require_unique(packed, [*EXECUTION, "shard_rank"], "packed row")
     placed, rows = place_routes(routes, manifest), packed_rows(packed, manifest)
     keys = [*EXECUTION, "etp_group", "pos"]
     joined = placed.join(rows, keys, "full_outer" if strict else "inner")
     if strict:
+        joined = cut(joined)
         size = len(manifest.etp_groups[0])
         require(joined, {"route without packed row or the reverse": F.col("output").isNotNull() & F.col("expert_id").isNotNull(), "partials": F.col("partials") == size}, "route bijection")
         # Without pipeline stages every rank of the group captures the same tokens' rows once.

@@ -18,7 +18,7 @@ from ..functions import arrays
 from ..functions.names import same_name
 from ..operators import experts, lineage, logs, loss_slope, pathways, reconstruct, router, scalars, topology, transports
 from ..schema import COORDINATES, STATUS_ACT, TABLES
-from ..session import cut
+from ..session import cut, written
 from ..sources import records, tensors
 from . import bridge
 from .analyses import query, two_rank_manifest
@@ -177,7 +177,7 @@ def _stored(rows: DataFrame, act: str, dtype: str, matrix: str, columns: int, **
 
 
 def _reconstructed(raw: DataFrame, accepted: DataFrame, manifest: topology.Manifest) -> DataFrame:
-    shaped = tensors.primary_forward(raw, accepted)
+    shaped = tensors.primary_forward(written(raw), accepted)
     found = reconstruct.token_table(reconstruct.reconstruct(shaped["ids"], shaped["weights"], shaped["maps"], shaped["packed"], manifest))
     return found.orderBy("dp_rank", "dataset_id", "sample_index", "token_index").select("microbatch_id", "dp_rank", "token_index", F.get("combined", F.lit(0)).alias("combined"))
 
